@@ -314,8 +314,8 @@ def violating_dependencies(f: Facts) -> DataFrame:
 
 @query("transitive_policy", CLOSURE + """, bad AS (SELECT c.parent FROM closure c WHERE NOT EXISTS
 (SELECT 1 FROM check_result r WHERE r.component_id = c.child AND r.check_id = 'mcn_build_service_1' AND r.passed = 1))
-SELECT id AS component_id FROM component WHERE id NOT IN (SELECT parent FROM bad)
-AND EXISTS (SELECT 1 FROM check_result r WHERE r.component_id = id AND r.check_id = 'mcn_build_service_1' AND r.passed = 1)""")
+SELECT c.id AS component_id FROM component c WHERE c.id NOT IN (SELECT parent FROM bad)
+AND EXISTS (SELECT 1 FROM check_result r WHERE r.component_id = c.id AND r.check_id = 'mcn_build_service_1' AND r.passed = 1)""")
 def transitive_policy(f: Facts) -> DataFrame:
     ok = policy.check_passed(f.check_result).where("check_id = 'mcn_build_service_1'").select("component_id")
     bad = graph.transitive_closure(f.dependency).join(ok.withColumnRenamed("component_id", "child"), "child", "left_anti").select(F.col("parent").alias("component_id"))
