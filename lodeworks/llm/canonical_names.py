@@ -22,7 +22,8 @@ Defined results
 * several entries at the same distance: resolved by version and variant; if more than one entry still fits, ``NONE``
   (ambiguous), never an arbitrary pick;
 * an empty reference list: every non-null value is ``NONE``;
-* repeated rows: each keeps its own result row; extra columns pass through untouched.
+* repeated rows: each keeps its own result row; extra columns pass through untouched, one that has the name of the result
+  column with a trailing underscore.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ SYNONYMS = {
     "src": "source",
 }
 
-_URL = re.compile(r"^\s*(?:https?://)?[\w.-]+\.[a-z]{2,}/(?:.*/)?([^/\s]+?)(?:\.(?:html?|txt|md))?/?[\s;.,*]*$", re.I)
+_URL = re.compile(r"^\s*(?:https?://)?[\w.-]+\.[a-z]{2,}/(?:.*/)?([^/\s]+?)(?:\.(?:html?|txt|md))?$", re.I)
+_LONGEST_URL = 2048
 _LATER = re.compile(r"(?:\bor|(?<=\d)or|-or)[\s_-]*(?:any[\s_-]*)?later(?:[\s_-]*version)?\b|(?<=\d)\s*\)?\s*\+")
 _NONCOM = re.compile(r"\bnon[\s_-]*commercial\b")
 _PAREN_REF = re.compile(r"\(([^()]*)\)\W*$")
@@ -87,7 +89,7 @@ def whole_version(v: str) -> str:
 def parse(value: str) -> Parsed:
     """Split a writing into words, version and variant."""
     s = fold(value)
-    if m := _URL.match(s):
+    if len(s) <= _LONGEST_URL and (m := _URL.match(s.strip(" \t\r\n\xa0;.,*/"))):
         s = m.group(1)
     later = bool(_LATER.search(s))
     s = _LATER.sub(" ", s)
@@ -116,9 +118,11 @@ class Trie:
 
     def __init__(self) -> None:
         self.root: list = [{}, ()]
+        self.longest = 0
 
     def add(self, path: str, entry: int) -> None:
         node = self.root
+        self.longest = max(self.longest, len(path))
         for c in path:
             node = node[0].setdefault(c, [{}, ()])
         if entry not in node[1]:
@@ -127,6 +131,8 @@ class Trie:
     def search(self, query: str, limit: int) -> dict[int, int]:
         """All entries within ``limit`` edits of ``query``, with their distance."""
         found: dict[int, int] = {}
+        if len(query) > self.longest + limit:
+            return found
         automaton = LevenshteinAutomaton(query, limit)
         stack = [(self.root, automaton.start(), None, "")]
         while stack:
@@ -188,6 +194,7 @@ class NameMatcher:
         self.kinds: set[str] = set()
         self.cache: OrderedDict[str, str] = OrderedDict()
         self.cache_size = cache
+        self.near: dict[str, dict[int, int]] = {}
         rows = sorted({(r, f or "") for r, f in entries if r})
         for ref, full in rows:
             forms = [parse(ref), *([parse(full)] if full else [])]
@@ -222,11 +229,19 @@ class NameMatcher:
         p = parse(value)
         return {self.refs[i]: d for i, d in self._search(p).items()}
 
+    def _near(self, q: str) -> dict[int, int]:
+        """Trie search with a bounded memory: many writings share a word."""
+        if q not in self.near:
+            if len(self.near) > self.cache_size:
+                self.near.clear()
+            self.near[q] = self.trie.search(q, allowed_distance(len(q)))
+        return self.near[q]
+
     def _search(self, p: Parsed) -> dict[int, int]:
         found: dict[int, int] = {}
         for queries in ({w for w in p.words if w not in self.kinds}, {"".join(p.words)}):
             for q in queries - {""}:
-                for i, d in self.trie.search(q, allowed_distance(len(q))).items():
+                for i, d in self._near(q).items():
                     if d < found.get(i, 99):
                         found[i] = d
             if found:
@@ -297,7 +312,7 @@ def map_names(df: DataFrame, value: str, reference: DataFrame, ref: str = "licen
         for s in batches:
             yield pd.Series([None if v is None else m.resolve(v) for v in s], dtype=object)
 
-    return df.withColumn(out, resolved(F.col(value)))
+    return df.select(*[F.col(c).alias(f"{c}_" if c == out else c) for c in df.columns], resolved(F.col(value)).alias(out))
 
 
 def is_written_exactly(value: str, reference: tuple[tuple[str, str], ...]):

@@ -110,7 +110,7 @@ def items(df: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
     """``(id, piece, n_pieces, tokens, container_id)``: every item, or piece of a divided item, and its container.
 
-    Containers are named ``s<number>`` when shared and ``d<id>-<piece>`` when one divided item fills them.
+    Containers are named ``s<number>`` when shared and ``d-<id>-<number>-<piece>`` when one divided item fills them.
     """
     it = cut(items(df, id_col, text_col, capacity))
     # The remainder of a divided item is packed unless nothing is left.
@@ -143,9 +143,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     )
     pieces = (F.col("full") + (F.col("len") > 0).cast("long")).alias("n_pieces")
     shared = ranked.select("id", F.col("full").alias("piece"), F.greatest(pieces, F.lit(1)).alias("n_pieces"), F.col("len").cast("long").alias("tokens"), F.concat(F.lit("s"), "c").alias("container_id"))
+    # Only divided items get here; the number tells items of one id apart.
     alone = (
         it.where("full > 0")
-        .select("id", pieces, F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
-        .select("id", "piece", "n_pieces", F.lit(capacity).cast("long").alias("tokens"), F.concat(F.lit("d"), "id", F.lit("-"), "piece").alias("container_id"))
+        .withColumn("no", F.row_number().over(Window.partitionBy("id").orderBy("tokens")))
+        .select("id", pieces, "no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
+        .select("id", "piece", "n_pieces", F.lit(capacity).cast("long").alias("tokens"), F.concat_ws("-", F.lit("d"), "id", "no", "piece").alias("container_id"))
     )
     return shared.unionByName(alone)

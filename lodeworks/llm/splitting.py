@@ -11,7 +11,8 @@ does not fit there is cut at a token (one token is never divided), and the piece
 
 Defined results: null, empty and blank texts and texts of at most ``limit`` tokens are not oversized; :func:`split_oversized`
 gives no rows for them.  White space before a token belongs to the piece of that token; white space at the very end of a
-text belongs to no piece.  Repeated rows give repeated pieces.
+text belongs to no piece.  Repeated rows give repeated pieces; a column
+that has the name of the result column is kept with a trailing underscore.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def oversized(df: DataFrame, text_col: str, limit: int) -> DataFrame:
 def cut_kind(df: DataFrame, text_col: str = "text", limit: int = 512, out: str = "cut") -> DataFrame:
     """Oversized rows with ``out``: ``forced`` if a piece of ``limit`` tokens without overlap had to end inside a stretch, else ``natural``."""
     forced = F.exists(_all(F.col(text_col), extraction(limit), 1), lambda x: x != "")
-    return oversized(df, text_col, limit).withColumn(out, F.when(forced, "forced").otherwise("natural"))
+    rows = oversized(df, text_col, limit)
+    return rows.select(*[F.col(c).alias(f"{c}_" if c == out else c) for c in df.columns], F.when(forced, "forced").otherwise("natural").alias(out))
 
 
 def split_oversized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, overlap: int = 64) -> DataFrame:
@@ -70,12 +72,9 @@ def split_oversized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pattern = extraction(limit - overlap, limit)
     text = F.col(text_col)
     if overlap:
-        groups = (1, 2)
         forced_at = lambda: F.zip_with(_all(text, pattern, 1), _all(text, pattern, 2), lambda a, b: (a != "") | (b != ""))
     else:
-        groups = (1,)
         forced_at = lambda: F.transform(_all(text, pattern, 1), lambda a: a != "")
-    del groups
     back = rf"\A(?:{TOKEN}[{SPACE}]*+){{1,{overlap}}}"
     # Reversed, the end of a piece begins with its last token, perhaps after white space that a forced cut cannot leave.
     tail = lambda s: F.reverse(F.regexp_extract(F.reverse(s), back, 0)) if overlap else F.lit("")
