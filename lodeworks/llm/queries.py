@@ -78,4 +78,19 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_collapsed, p6_found, p6_packed, p7_found, p7_leaks, p8_found, p8_pieces)
 }
-ORACLES: dict[str, str] = {}
+
+# Plain SQL for the problems that whole-table SQL can express.
+_TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
+_SETS = r"""
+WITH w AS (SELECT row_id, url_decode(coalesce(group_name, '')) AS g, url_decode(coalesce(comp_name, '')) AS n, purl, strpos(coalesce(purl, ''), '?') AS q FROM bom_components),
+x AS (SELECT row_id, g, n, url_decode(CASE WHEN q > 0 THEN substr(purl, 1, q - 1) ELSE coalesce(purl, '') END) AS b, CASE WHEN q > 0 THEN string_split(substr(purl, q + 1), '&') ELSE [] END AS pairs FROM w),
+y AS (SELECT row_id, trim(regexp_replace(lower(g), '[^\p{L}\p{N}]+', ' ', 'g')) AS g, trim(regexp_replace(lower(n), '[^\p{L}\p{N}]+', ' ', 'g')) AS n, trim(regexp_replace(lower(b), '[^\p{L}\p{N}]+', ' ', 'g')) AS b,
+list_sort(list_filter(list_transform(pairs, lambda t: trim(regexp_replace(lower(url_decode(split_part(t, '=', 1))), '[^\p{L}\p{N}]+', ' ', 'g')) || '=' || trim(regexp_replace(lower(url_decode(substr(t, strpos(t, '=') + 1))), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda t: t <> '=')) AS p FROM x)"""
+ORACLES: dict[str, str] = {
+    "p3_found": _SETS + " SELECT k AS keep_row_id, row_id AS copy_row_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY g, n, b, p) AS k FROM y) WHERE row_id <> k",
+    "p3_collapsed": _SETS + " SELECT min(row_id) AS keep_id, count(*) AS n_copies FROM y GROUP BY g, n, b, p",
+    "p6_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_TOK}')) > 2048",
+    "p8_found": f"""WITH t AS (SELECT doc_id, text FROM documents WHERE len(regexp_extract_all(text, '{_TOK}')) > 512),
+s AS (SELECT doc_id, list_max(list_transform(string_split(regexp_replace(text, '([.!?])[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '\\1' || chr(10), 'g'), chr(10)), lambda x: len(regexp_extract_all(x, '{_TOK}')))) AS m FROM t)
+SELECT doc_id, CASE WHEN m > 512 THEN 'forced' ELSE 'natural' END AS cut FROM s""",
+}
