@@ -105,3 +105,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_components": p5_components,
     "p5_schema_graph": p5_schema_graph,
 }
+
+#: The same changes by self-joins over whole tables.
+ORACLES: dict[str, str] = {
+    "p4_found": """
+WITH l AS (SELECT feed, file_seq, line FROM feed_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
+e AS (SELECT feed, file_seq, k, json_extract_string(line, '$.ref') AS ref, json_extract(line, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(line)) AS k FROM l)),
+t AS (SELECT DISTINCT feed, file_seq, k, ref, CAST(v AS VARCHAR) AS v, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS ty FROM e WHERE json_type(v) <> 'NULL'),
+files AS (SELECT feed, file_seq, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed, file_seq FROM feed_lines)),
+p AS (SELECT feed, file_seq, k, list_sort(list(DISTINCT ty)) AS ty FROM t GROUP BY ALL),
+gone AS (SELECT f.feed, f.file_seq, f.prev, p.k FROM files f JOIN p ON p.feed = f.feed AND p.file_seq = f.prev WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.feed = f.feed AND q.file_seq = f.file_seq AND q.k = p.k)),
+come AS (SELECT f.feed, f.file_seq, p.k FROM files f JOIN p ON p.feed = f.feed AND p.file_seq = f.file_seq WHERE f.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p q WHERE q.feed = f.feed AND q.file_seq = f.prev AND q.k = p.k)),
+ren AS (SELECT g.feed, g.file_seq, g.k, c.k AS n FROM gone g JOIN come c ON c.feed = g.feed AND c.file_seq = g.file_seq JOIN t a ON a.feed = g.feed AND a.file_seq = g.prev AND a.k = g.k
+JOIN t b ON b.feed = g.feed AND b.file_seq = g.file_seq AND b.k = c.k AND b.ref = a.ref GROUP BY ALL HAVING avg(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) >= 0.9)
+SELECT feed, file_seq, 'renamed' AS change, k AS field, n AS new_field FROM ren
+UNION ALL SELECT feed, file_seq, 'removed', k, '' FROM gone WHERE (feed, file_seq, k) NOT IN (SELECT (feed, file_seq, k) FROM ren)
+UNION ALL SELECT feed, file_seq, 'added', k, '' FROM come WHERE (feed, file_seq, k) NOT IN (SELECT (feed, file_seq, n) FROM ren)
+UNION ALL SELECT f.feed, f.file_seq, 'type_changed', p.k, '' FROM files f JOIN p ON p.feed = f.feed AND p.file_seq = f.file_seq JOIN p q ON q.feed = f.feed AND q.file_seq = f.prev AND q.k = p.k WHERE p.ty <> q.ty""",
+}
