@@ -574,8 +574,9 @@ def anomalous_version(f: Facts) -> DataFrame:
     o, at = f.table("orders"), F.col("o_orderdate")
     m4 = F.col("o_orderkey") % 4
     major = F.when(m4 == 0, F.year(at).cast("bigint")).when(m4 == 1, F.col("o_orderkey") % 40).when(m4 == 2, F.date_format(at, "yyyyMMdd").cast("bigint")).otherwise(F.month(at).cast("bigint"))
-    a = heuristics.anomalous_version(F.lit(0), major, F.month(at), F.day(at), at, F.lit(True))
-    return o.select(F.col("o_orderkey").alias("id"), a.alias("a")).select("id", "a.kind", "a.result")
+    x = o.select(F.col("o_orderkey").alias("id"), major.alias("major"), at.alias("at"))
+    a = heuristics.anomalous_version(F.lit(0), F.col("major"), F.month("at"), F.day("at"), F.col("at"), F.lit(True))
+    return x.select("id", a.alias("a")).select("id", "a.kind", "a.result")
 
 
 @query("typosquat_candidates")

@@ -54,7 +54,8 @@ def in_range(version: Column, introduced: Column, fixed: Column) -> Column:
 def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """``(package, version, adv)`` of versions inside any range of an advisory for their package and ecosystem.
 
-    ``packages(package, ecosystem, version)``, ``advisories(adv, affected)``.  An equi-join on the name, then the range.
+    ``packages(package, ecosystem, version)``, ``advisories(adv, affected)``.  An equi-join on the name, then the range;
+    keys are built once a row before the join, not once a pair.
     """
     flat = (
         advisories.select("adv", F.explode("affected").alias("a"))
@@ -62,9 +63,10 @@ def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
         .select("adv", F.col("a.package.name").alias("package"), F.col("a.package.ecosystem").alias("ecosystem"), F.explode("a.ranges").alias("r"))
         .where("size(r.events) > 0")
         .select("adv", "package", "ecosystem", last_events(F.col("r.events")).alias("e"))
-        .select("adv", "package", "ecosystem", "e.introduced", "e.fixed")
+        .select("adv", "package", "ecosystem", version_key(F.col("e.introduced")).alias("lo"), version_key(F.col("e.fixed")).alias("hi"))
     )
-    return packages.join(flat, ["package", "ecosystem"]).where(in_range(F.col("version"), F.col("introduced"), F.col("fixed"))).select("package", "version", "adv").distinct()
+    keyed = packages.select("package", "ecosystem", "version", version_key(F.col("version")).alias("v")).where("v is not null")
+    return keyed.join(flat, ["package", "ecosystem"]).where("(lo is null or v >= lo) and (hi is null or v < hi)").select("package", "version", "adv").distinct()
 
 
 def highest_tag(df: DataFrame, key: str, tag: str) -> DataFrame:
