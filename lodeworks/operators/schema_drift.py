@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeworks.session import cut
+
 #: Share of the records found in both files whose value must stand under the new key.
 SAME_VALUES = 0.9
 #: Bound of what the alias table may hold: distinct renames, whatever the number of files.
@@ -37,7 +39,7 @@ def json_object(line: Column) -> Column:
     ``try_parse_json`` overlooks what follows a document; wrapped into an array, anything that follows breaks it or
     becomes a second element.
     """
-    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    text = F.btrim(line, F.lit(" \t\r\n"))
     whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     return F.when(text.startswith("{") & text.endswith("}"), whole)
 
@@ -109,18 +111,26 @@ def raw_changes(cat: DataFrame) -> DataFrame:
 
 
 def renames(lines: DataFrame, cat: DataFrame, raw: DataFrame, producer: str, seq: str, line: str, record_key: str) -> DataFrame:
-    """``(producer, n, field, new_field)``: fields that ended where another started with their values."""
+    """``(producer, n, field, new_field)``: fields that ended where another started with their values.
+
+    One pass over the records: each value of a field that ended is taken from the file before, of one that started from
+    the file itself; the few values of a record then stand in one row and are compared there.
+    """
     files = cat.select("producer", "seq", "n").distinct()
+    gone = raw.where("change = 'removed'").select("producer", "n", "field", F.lit(True).alias("old")).join(files.select("producer", (F.col("n") + 1).alias("n"), "seq"), ["producer", "n"])
+    come = raw.where("change = 'added'").select("producer", "n", "field", F.lit(False).alias("old")).join(files, ["producer", "n"])
+    # Only changes with both an end and a start can hold a rename.
+    both = raw.where("change <> 'type_changed'").groupBy("producer", "n").agg(F.count_distinct("change").alias("k")).where("k = 2").select("producer", "n")
+    marks = gone.unionByName(come).join(both, ["producer", "n"], "left_semi")
     values = entries(lines, producer, seq, line, record_key).where("ref is not null").select("producer", "seq", "ref", "field", F.xxhash64(F.to_json("value")).alias("h"))
-    gone = raw.where("change = 'removed'").select("producer", "n", "field").join(files.select("producer", (F.col("n") + 1).alias("n"), "seq"), ["producer", "n"])
-    come = raw.where("change = 'added'").select("producer", "n", "field").join(files, ["producer", "n"])
-    old = values.join(gone, ["producer", "seq", "field"]).select("producer", "n", "ref", "field", F.col("h").alias("a")).distinct()
-    new = values.join(come, ["producer", "seq", "field"]).select("producer", "n", "ref", F.col("field").alias("new_field"), F.col("h").alias("b")).distinct()
+    side = lambda old: F.filter("vs", lambda v: v["old"] if old else ~v["old"])
+    records = values.join(marks, ["producer", "seq", "field"]).groupBy("producer", "n", "ref").agg(F.collect_set(F.struct("old", "field", "h")).alias("vs"))
+    pairs = records.select("producer", "n", "ref", F.explode(side(True)).alias("a"), "vs").select("producer", "n", "ref", "a", F.explode(side(False)).alias("b"))
     pair = ["producer", "n", "field", "new_field"]
     scored = (
-        old.join(new, ["producer", "n", "ref"])
+        pairs.select("producer", "n", "ref", F.col("a.field").alias("field"), F.col("b.field").alias("new_field"), (F.col("a.h") == F.col("b.h")).cast("int").alias("same"))
         .groupBy(*pair, "ref")
-        .agg(F.max((F.col("a") == F.col("b")).cast("int")).alias("same"))
+        .agg(F.max("same").alias("same"))
         .groupBy(*pair)
         .agg(F.sum("same").alias("same"), F.count("*").alias("of"))
         .where(F.col("same") >= SAME_VALUES * F.col("of"))
@@ -133,7 +143,7 @@ def renames(lines: DataFrame, cat: DataFrame, raw: DataFrame, producer: str, seq
 
 def changes(lines: DataFrame, producer: str = "feed", seq: str = "file_seq", line: str = "line", record_key: str = "ref") -> DataFrame:
     """``(producer, seq, change, field, new_field)``: every change of a file against the file before it."""
-    cat = catalogue(lines, producer, seq, line)
+    cat = cut(catalogue(lines, producer, seq, line))  # one small row per file and field, read several times below
     raw = raw_changes(cat)
     ren = renames(lines, cat, raw, producer, seq, line, record_key)
     # Every file with a field has a row in the catalogue; a file without any (all lines broken) still ends fields.
