@@ -114,7 +114,7 @@ def renames(lines: DataFrame, cat: DataFrame, raw: DataFrame, producer: str, seq
     """``(producer, n, field, new_field)``: fields that ended where another started with their values.
 
     One pass over the records: each value of a field that ended is taken from the file before, of one that started from
-    the file itself; the few values of a record then stand in one row and are compared there.
+    the file itself.
     """
     files = cat.select("producer", "seq", "n").distinct()
     gone = raw.where("change = 'removed'").select("producer", "n", "field", F.lit(True).alias("old")).join(files.select("producer", (F.col("n") + 1).alias("n"), "seq"), ["producer", "n"])
@@ -123,18 +123,14 @@ def renames(lines: DataFrame, cat: DataFrame, raw: DataFrame, producer: str, seq
     both = raw.where("change <> 'type_changed'").groupBy("producer", "n").agg(F.count_distinct("change").alias("k")).where("k = 2").select("producer", "n")
     marks = gone.unionByName(come).join(both, ["producer", "n"], "left_semi")
     values = entries(lines, producer, seq, line, record_key).where("ref is not null").select("producer", "seq", "ref", "field", F.xxhash64(F.to_json("value")).alias("h"))
-    side = lambda old: F.filter("vs", lambda v: v["old"] if old else ~v["old"])
-    records = values.join(marks, ["producer", "seq", "field"]).groupBy("producer", "n", "ref").agg(F.collect_set(F.struct("old", "field", "h")).alias("vs"))
-    pairs = records.select("producer", "n", "ref", F.explode(side(True)).alias("a"), "vs").select("producer", "n", "ref", "a", F.explode(side(False)).alias("b"))
-    pair = ["producer", "n", "field", "new_field"]
-    scored = (
-        pairs.select("producer", "n", "ref", F.col("a.field").alias("field"), F.col("b.field").alias("new_field"), (F.col("a.h") == F.col("b.h")).cast("int").alias("same"))
-        .groupBy(*pair, "ref")
-        .agg(F.max("same").alias("same"))
-        .groupBy(*pair)
-        .agg(F.sum("same").alias("same"), F.count("*").alias("of"))
-        .where(F.col("same") >= SAME_VALUES * F.col("of"))
-    )
+    # Distinct values of the fields that changed, a small part of the records; joins on them meet only the fields of one
+    # record, or equal values, so a record key that fills a file multiplies nothing.
+    v = cut(values.join(marks, ["producer", "seq", "field"]).select("producer", "n", "ref", "old", "field", "h").distinct())
+    record, pair = ["producer", "n", "ref"], ["producer", "n", "field", "new_field"]
+    old, new = v.where("old").drop("old"), v.where("not old").select(*record, F.col("field").alias("new_field"), "h")
+    of = old.drop("h").distinct().join(new.drop("h").distinct(), record).groupBy(*pair).agg(F.count("*").alias("of"))
+    same = old.join(new, [*record, "h"]).select(*pair, "ref").distinct().groupBy(*pair).agg(F.count("*").alias("same"))
+    scored = of.join(same, pair).where(F.col("same") >= SAME_VALUES * F.col("of"))
     share = (F.col("same") / F.col("of")).desc()
     best = scored.withColumn("i", F.row_number().over(Window.partitionBy("producer", "n", "field").orderBy(share, F.col("same").desc(), "new_field")))
     best = best.withColumn("j", F.row_number().over(Window.partitionBy("producer", "n", "new_field").orderBy("i", share, F.col("same").desc(), "field")))
