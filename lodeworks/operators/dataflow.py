@@ -79,7 +79,7 @@ def files_under(state: DataFrame, reads: DataFrame) -> DataFrame:
 
 def consistent_choices(bindings: DataFrame, key: str, name: str, value: str) -> DataFrame:
     """Bindings of one alternative in which every name has one value; conflicting alternatives are dropped."""
-    bad = bindings.groupBy(key, name).agg(F.count_distinct(value).alias("n")).where("n > 1").select(key).distinct()
+    bad = bindings.groupBy(key, name).agg(F.count_distinct(value).alias("_values")).where("_values > 1").select(key).distinct()
     return bindings.join(bad, key, "left_anti").groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(name, value)))).alias("bindings"))
 
 
@@ -133,6 +133,7 @@ class Shell:
     """Interprets a small part of the shell over sets of values: assignments, ``echo``, ``base64``, redirections, pipes, ``&&``, ``||``, ``;``, ``if`` and calls."""
 
     _ASSIGN = re.compile(r"^(?:export\s+)?([A-Za-z_]\w*)=(.*)$", re.S)
+    _KEYWORD = re.compile(r"^(?:(?:if|elif|while|until|then|else|do|!)(?:\s+|$))+|^(?:fi|done|esac)$")
     _VAR = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
 
     def __init__(self, env: dict[str, set[str]] | None = None):
@@ -156,28 +157,33 @@ class Shell:
 
     @staticmethod
     def split(line: str, seps: tuple[str, ...]) -> list[str]:
-        """Parts of a line at separators outside quotes."""
-        parts, cur, quote, i = [], "", "", 0
+        """Parts of a line at separators outside quotes and substitutions."""
+        parts, cur, quote, depth, i = [], "", "", 0, 0
         while i < len(line):
             c = line[i]
-            sep = next((s for s in seps if not quote and line.startswith(s, i)), None)
+            if quote != "'" and line.startswith("$(", i) or depth and c == "(":
+                depth += 1
+            elif depth and c == ")":
+                depth -= 1
+            sep = next((s for s in seps if not quote and not depth and line.startswith(s, i)), None)
             if sep:
                 parts.append(cur)
                 cur, i = "", i + len(sep)
                 continue
-            if c in "\"'":
+            if c in "\"'" and not depth:
                 quote = "" if quote == c else quote or c
-            cur += c
-            i += 1
+            step = 2 if line.startswith("$(", i) and quote != "'" else 1
+            cur += line[i : i + step]
+            i += step
         return [p.strip() for p in [*parts, cur] if p.strip()]
 
     def run(self, text: str) -> None:
         text = re.sub(r"\\\n", " ", text)
         for line in text.split("\n"):
             line = re.sub(r"(^|\s)#.*$", "", line).strip()
-            line = re.sub(r"^(?:if|elif|while|until|then|else|do|!)\s+|;\s*(?:then|do)\s*$|^(?:fi|done|else|then|do|esac)\b;?", "", line).strip()
             for command in self.split(line, ("&&", "||", ";")):
-                self.pipeline(command)
+                if command := self._KEYWORD.sub("", command).strip():
+                    self.pipeline(command)
 
     def pipeline(self, command: str) -> None:
         stdin: set[str] | None = None

@@ -97,9 +97,10 @@ def anomalous_version(epoch: Column, major: Column, minor: Column, micro: Column
         n, at, parts = 4 + width, 1, {}
         for f in (a, b, c):
             w = width if f == "Y" else 2
-            parts[f] = F.substring(F.lpad(text, n, "0") if width == 2 else text, at, w).try_cast("int")
+            parts[f] = F.substring(F.lpad(text, n, "0"), at, w).try_cast("int")
             at += w
-        as_date = as_date | ((F.length(text) == n) & in_year(parts["Y"]) & in_month(parts["M"]) & in_days(parts["D"]))
+        # A number has lost the leading zero of its first field.
+        as_date = as_date | (F.length(text).isin(n, n - 1) & in_year(parts["Y"]) & in_month(parts["M"]) & in_days(parts["D"]))
     year_first = in_year(major)
     calendar = (year_first & ((in_month(minor) & in_days(micro)) | (in_days(minor) & in_month(micro)))) | (~year_first & ((((in_month(major) & in_days(minor)) | (in_days(major) & in_month(minor))) & in_year(micro)) | as_date))
     kind = F.when(~valid, "invalid").when(calendar, "calendar").when(year_first, "calendar_semantic").otherwise("semantic")

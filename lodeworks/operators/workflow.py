@@ -40,8 +40,8 @@ RECOMMENDATION = {
 PR_REFS = r"github\.(?:head_ref|event\.pull_request\.head\.(?:ref|sha))"
 #: Values an outsider controls.
 TAINTED = r"github\.(?:head_ref|event\.(?:pull_request\.(?:title|body|head\.(?:ref|label|repo\.default_branch))|issue\.(?:title|body)|comment\.body|review\.body|review_comment\.body|discussion\.(?:title|body)|pages\.[^}]*page_name|commits[^}]*\.message|head_commit\.(?:message|author\.(?:email|name))))"
-_REMOTE_EXEC = r"(?:curl|wget)\b[^\n|;&]*\|\s*(?:(?:sudo|env|command)(?:\s+[A-Za-z_]+=\S+|\s+-\S+)*\s+)*(?:bash|sh|tar)\b"
-_INJECTION = r"\$\{\{\s*[^}]*" + TAINTED + r"[^}]*\}\}"
+_REMOTE_EXEC = r"(?m)(?:^\s*|[;&|(]\s*|\b(?:sudo|env|command)\s+)(?:curl|wget)\b(?:[^\n|;&]|&(?!&))*\|\s*(?:(?:sudo|env|command)(?:\s+[A-Za-z_]+=\S+|\s+-\S+)*\s+)*(?:bash|sh|tar)\b"
+_INJECTION = r"\$\{\{(?:(?!\}\}).)*" + TAINTED
 
 
 def action_name(uses: Column) -> Column:

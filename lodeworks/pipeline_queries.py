@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeworks import sinks
 from lodeworks.fact_queries import query
 from lodeworks.functions import versions
-from lodeworks.operators import build_spec, checks, dataflow, policy, provenance, sbom, tags, workflow
+from lodeworks.operators import build_spec, checks, dataflow, patterns, policy, provenance, resolution, sbom, tags, workflow
 from lodeworks.operators.relational import first_per_group
 from lodeworks.sources import readers
 from lodeworks.sources.facts import NOW, Facts
@@ -295,3 +295,110 @@ def streaming_event_counts(f: Facts) -> DataFrame:
     name = f"counts_{uuid.uuid4().hex}"
     events.drain(events.windowed_counts(events.read_events(f.spark, f"{f.folder}/events.parquet*")), name, "complete")
     return f.spark.table(name)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Patterns, commands, resolution
+
+
+@query("suspicious_patterns", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN bool_or(regexp_matches(t, '(?i)\b(?:vmware|virtualbox|qemu|sandboxie)\b') OR regexp_matches(t, '\bsys\.gettrace\s*\(\s*\)') OR regexp_matches(t, '(?:\\x[0-9a-fA-F]{2}){8,}')) THEN 'FAIL' ELSE 'PASS' END AS result FROM l GROUP BY 1""", facts=False)
+def suspicious_patterns(f: Facts) -> DataFrame:
+    d = f.table("documents").where("text is not null")
+    lines = d.select("doc_id", F.lit("text").alias("path"), F.posexplode(F.split("text", "\n")).alias("no", "t"))
+    rules = [r for r in patterns.DEFAULT_RULES if r.rule in ("virtual-machine-probe", "debugger-probe", "hex-escape-run")]
+    return patterns.suspicious(patterns.pattern_hits(lines, "doc_id", "path", "no", "t", rules), d, "doc_id")
+
+
+@query("provenance_expectation", _ATT + r""" SELECT att_num, json_extract_string(j, '$.predicateType') IS NOT NULL AND regexp_full_match(json_extract_string(j, '$.predicateType'), '.*/v0\.2') AND regexp_full_match(coalesce(json_extract_string(j, '$.predicate.buildType'), ''), '.*/go@v1') AS met FROM d""", facts=False)
+def provenance_expectation(f: Facts) -> DataFrame:
+    met = patterns.expectation(F.col("v"), {"$.predicateType": r".*/v0\.2", "$.predicate.buildType": ".*/go@v1"})
+    return _statements(f).select("att_num", met.alias("met"))
+
+
+@query("lowest_satisfying_version", """WITH r AS (SELECT package_name, release_version, list_resize(list_transform(string_split(release_version, '.'), lambda t: CAST(t AS BIGINT)), 6, 0) AS k FROM release_files WHERE regexp_full_match(release_version, '[0-9]+([.][0-9]+)*'))
+SELECT package_name, min(k) AS k FROM r WHERE k[1] >= 2 AND k[1] < 6 GROUP BY 1""", facts=False)
+def lowest_satisfying_version(f: Facts) -> DataFrame:
+    r = f.table("release_files").where(F.col("release_version").rlike(r"\A[0-9]+(\.[0-9]+)*\z"))
+    low = patterns.lowest_satisfying(r, "package_name", "release_version", ">=2,<6")
+    parts = F.transform(F.split("release_version", r"\."), lambda x: x.cast("bigint"))
+    return low.select("package_name", F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 6)), 1, 6).alias("k"))
+
+
+@query("command_parse", """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE CASE p_partkey % 3 WHEN 0 THEN 'mvn' ELSE 'gradle' END END AS tool,
+CASE WHEN p_partkey % 3 = 0 THEN 'mvn clean package -f pom' || p_partkey || '.xml -DskipTests -Dv=' || p_size WHEN p_partkey % 3 = 1 THEN 'gradle assemble -x test -Dv=' || p_size END AS command FROM part""", facts=False)
+def command_parse(f: Facts) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("./mvnw -f pom"), k, F.lit(".xml clean -DskipTests 'package' -D v="), "p_size")).when(k % 3 == 1, F.concat(F.lit("gradle -x test assemble -Pv="), "p_size")).otherwise("make all")
+    p = patterns.parse_commands(f.table("part").select(k.alias("id"), text.alias("t")), "id", "t")
+    return p.select("id", "tool", patterns.patched_command(F.col("tool"), F.col("goals"), F.col("options"), F.col("properties")).alias("command"))
+
+
+@query("repository_finder", """SELECT id, CASE WHEN id % 3 = 0 THEN 'https://' || complete_name WHEN id % 3 = 1 THEN 'https://github.com/other/r' || id END AS repository,
+CASE WHEN id % 3 = 0 THEN 'found_in_metadata' WHEN id % 3 = 1 THEN 'found_in_index' ELSE 'no_repository' END AS outcome FROM repository""")
+def repository_finder(f: Facts) -> DataFrame:
+    i = F.col("id")
+    r = f.repository.select("id", F.when(i % 3 == 0, F.array(F.lit("https://example.org/x"), F.concat(F.lit("git+https://"), "complete_name", F.lit(".git")))).otherwise(F.array(F.lit("not a url"))).alias("meta"), F.when(i % 3 == 1, F.array(F.concat(F.lit("git@github.com:other/r"), i))).alias("idx"))
+    return resolution.find_repository(r, "id", [("meta", "found_in_metadata"), ("idx", "found_in_index")])
+
+
+@query("artifact_pipeline", f"""+ m AS (SELECT package, seq, upload_time, upload_time - (seq % 5 - 1) * INTERVAL 1 HOUR AS committed_at FROM releases),
+n AS (SELECT m.package, m.seq, r.run_id, row_number() OVER (PARTITION BY m.package, m.seq ORDER BY r.started_at DESC, r.run_id) AS k FROM m JOIN ci_runs r ON r.package = m.package AND r.started_at < m.upload_time
+AND r.started_at >= m.upload_time - INTERVAL 43200 SECOND AND abs(date_diff('second', committed_at, r.started_at)) <= 21600)
+SELECT m.package, m.seq, n.run_id, m.upload_time < m.committed_at AS published_before_commit, n.run_id IS NULL AND TIMESTAMP '{NOW}' - INTERVAL 400 DAY > m.upload_time AS run_deleted FROM m LEFT JOIN n ON n.package = m.package AND n.seq = m.seq AND n.k = 1""")
+def artifact_pipeline(f: Facts) -> DataFrame:
+    commits = f.releases.select("package", "seq", F.expr("upload_time - make_interval(0, 0, 0, 0, seq % 5 - 1)").alias("committed_at"))
+    return resolution.artifact_pipeline(f.releases, f.ci_runs, commits, NOW, 12 * 3600)
+
+
+@query("nearest_ancestor", """+ up AS (SELECT p_partkey AS node, p_partkey AS pos FROM part WHERE p_partkey < 3000 UNION ALL SELECT node, pos // 2 FROM up WHERE pos % 7 <> 0 AND pos // 2 > 0)
+SELECT node, pos AS ancestor FROM up WHERE pos % 7 = 0""")
+def nearest_ancestor(f: Facts) -> DataFrame:
+    k = F.col("p_partkey")
+    n = f.table("part").where("p_partkey < 3000").select(k.alias("node"), F.when(F.expr("p_partkey div 2") > 0, F.expr("p_partkey div 2")).alias("parent"), F.when(k % 7 == 0, "job").otherwise("step").alias("kind"))
+    return resolution.nearest_ancestor(n, "job")
+
+
+@query("check_registry", """SELECT component_id, check_id, result_type FROM (SELECT p_partkey AS component_id, p_size, p_partkey % 4 AS m FROM part) p, LATERAL (SELECT 'mcn_has_size_1' AS check_id, CASE WHEN p_size > 10 THEN 'PASSED' ELSE 'FAILED' END AS result_type
+UNION ALL SELECT 'mcn_even_key_1', CASE WHEN p_size <= 10 THEN 'SKIPPED' WHEN m % 2 = 0 THEN 'PASSED' ELSE 'FAILED' END) t""", facts=False)
+def check_registry(f: Facts) -> DataFrame:
+    reg = checks.Registry()
+
+    @reg.register("mcn_even_key_1", depends_on=(("mcn_has_size_1", checks.PASSED),))
+    def even(d: DataFrame) -> DataFrame:
+        return d.select("component_id", F.when(F.col("component_id") % 2 == 0, checks.PASSED).otherwise(checks.FAILED).alias("result_type"), F.lit(1.0).alias("confidence"))
+
+    @reg.register("mcn_has_size_1")
+    def size(d: DataFrame) -> DataFrame:
+        return d.select("component_id", F.when(F.col("p_size") > 10, checks.PASSED).otherwise(checks.FAILED).alias("result_type"), F.lit(0.7).alias("confidence"))
+
+    return reg.evaluate(f.table("part").select(F.col("p_partkey").alias("component_id"), "p_size")).select("component_id", "check_id", "result_type")
+
+
+@query("witness_level", """WITH a AS (SELECT s_suppkey % 20 AS component_id, 'f' || s_suppkey AS name, md5(CAST(s_suppkey AS VARCHAR)) AS sha256 FROM supplier), s AS (SELECT component_id, name, CASE WHEN component_id % 3 = 0 THEN 'other' ELSE sha256 END AS sha256 FROM a UNION ALL SELECT component_id, 'foreign', 'x' FROM a WHERE component_id % 5 = 0)
+SELECT DISTINCT component_id, CASE WHEN component_id % 5 = 0 THEN 'UNKNOWN' WHEN component_id % 3 = 0 THEN 'FAILED' ELSE 'PASSED' END AS result_type FROM a""", facts=False)
+def witness_level(f: Facts) -> DataFrame:
+    k = F.col("s_suppkey")
+    a = f.table("supplier").select((k % 20).alias("component_id"), F.concat(F.lit("f"), k).alias("name"), F.md5(k.cast("string")).alias("sha256"))
+    s = a.withColumn("sha256", F.when(F.col("component_id") % 3 == 0, "other").otherwise(F.col("sha256"))).union(a.where("component_id % 5 = 0").select("component_id", F.lit("foreign"), F.lit("x")))
+    return checks.witness_level(a, s)
+
+
+@query("scope_reads", """WITH st AS (SELECT c_custkey % 13 AS scope, 'v' || c_custkey % 3 AS location, c_mktsegment AS value FROM customer), up(scope, outer_scope, distance) AS (SELECT DISTINCT scope, scope, 0 FROM st UNION SELECT scope, scope // 2, 1 FROM st WHERE scope > 0)
+SELECT r.scope * 10 + r.l AS read, st.value, min(up.distance) AS distance FROM (SELECT DISTINCT scope, unnest([0, 1, 2]) AS l FROM st) r JOIN up ON up.scope = r.scope JOIN st ON st.scope = up.outer_scope AND st.location = 'v' || r.l GROUP BY 1, 2""", facts=False)
+def scope_reads(f: Facts) -> DataFrame:
+    k = F.col("c_custkey")
+    st = f.table("customer").select((k % 13).alias("scope"), F.concat(F.lit("v"), k % 3).alias("location"), F.col("c_mktsegment").alias("value"))
+    s = st.select("scope").distinct()
+    up = s.select("scope", F.col("scope").alias("outer"), F.lit(0).alias("distance")).union(s.where("scope > 0").select("scope", F.expr("scope div 2"), F.lit(1)))
+    reads = s.select("scope", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("l")).select((F.col("scope") * 10 + F.col("l")).alias("read"), "scope", F.concat(F.lit("v"), "l").alias("location"))
+    return dataflow.values_in_scope(st, up, reads)
+
+
+@query("action_effects", """SELECT p_partkey AS node, CASE p_partkey % 3 WHEN 0 THEN 'artifact:a' || p_size WHEN 1 THEN 'dist' || p_size ELSE 'installed:java' END AS location, CASE p_partkey % 3 WHEN 2 THEN CAST(p_size AS VARCHAR) ELSE '' END AS prefix,
+CASE p_partkey % 3 WHEN 0 THEN 'dist' || p_size WHEN 1 THEN 'artifact:a' || p_size END AS source FROM part WHERE p_partkey % 4 <> 0""", facts=False)
+def action_effects(f: Facts) -> DataFrame:
+    k = F.col("p_partkey")
+    uses = F.when(k % 4 == 0, "org/unknown@v1").when(k % 3 == 0, "actions/upload-artifact@v4").when(k % 3 == 1, "actions/download-artifact@v4").otherwise("actions/setup-java@v4")
+    s = f.table("part").select(k.alias("node"), uses.alias("uses"), F.concat(F.lit("a"), "p_size").alias("name"), F.concat(F.lit("dist"), "p_size").alias("path"), F.col("p_size").cast("string").alias("version"))
+    return dataflow.action_effects(s).drop("suffix")

@@ -72,3 +72,8 @@ def test_one_table(spark):
 def test_long_line(spark):
     df = lines(spark, {1: [{"ref": "a", "k": "x" * 300_000}], 2: [{"ref": "a", "m": "x" * 300_000}]})
     assert changes(df) == [("f", 2, "renamed", "k", "m")]
+
+
+def test_one_key_for_all_records(spark):
+    df = lines(spark, {1: [{"ref": "a", "k": i} for i in range(300)], 2: [{"ref": "a", "m": i} for i in range(300)]})
+    assert changes(df) == [("f", 2, "renamed", "k", "m")]
