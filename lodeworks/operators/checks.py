@@ -25,6 +25,8 @@ class Check:
     #: Parent check and the result it must have.
     depends_on: tuple[tuple[str, str], ...] = ()
     on_skip: str = SKIPPED
+    #: Result and confidence as columns of the facts, for checks that need nothing else.
+    columns: tuple[Column, Column] | None = None
 
 
 class Registry:
@@ -46,6 +48,12 @@ class Registry:
 
         return add
 
+    def add_columns(self, check_id: str, result: Column, confidence: Column, depends_on: tuple[tuple[str, str], ...] = (), on_skip: str = SKIPPED) -> None:
+        """A check that is a column of the facts."""
+        self.register(check_id, depends_on, on_skip)(lambda d: d.select("component_id", result.alias("result_type"), confidence.alias("confidence")))
+        old = self.checks[check_id]
+        self.checks[check_id] = Check(check_id, old.run, depends_on, on_skip, (result, confidence))
+
     def order(self) -> list[str]:
         """Topological order; a cycle or an unknown parent is an error."""
         done, out = set(), []
@@ -59,9 +67,12 @@ class Registry:
 
     def evaluate(self, facts: DataFrame) -> DataFrame:
         """``(component_id, check_id, result_type, confidence)`` of all checks over wide facts, gates applied."""
-        wide = facts.select("component_id")
+        plain = {c: k.columns for c, k in self.checks.items() if k.columns}
+        wide = facts.select("component_id", *[x.alias(n) for c, (r, k) in plain.items() for x, n in ((r, c), (k, f"{c}#"))])
         for c in self.order():
             k = self.checks[c]
+            if c in plain:
+                continue
             res = k.run(facts).select("component_id", F.col("result_type").alias(c), F.col("confidence").alias(f"{c}#"))
             wide = wide.join(res, "component_id", "left")
         wide = apply_gates(wide, {c: self.checks[c].depends_on for c in self.order()}, {c: self.checks[c].on_skip for c in self.checks})

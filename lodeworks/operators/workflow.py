@@ -44,6 +44,28 @@ _REMOTE_EXEC = r"(?m)(?:^\s*|[;&|(]\s*|\b(?:sudo|env|command)\s+)(?:curl|wget)\b
 _INJECTION = r"\$\{\{(?:(?!\}\}).)*" + TAINTED
 
 
+def flatten(df: DataFrame, path: str, document: str) -> DataFrame:
+    """One row per step of workflows given as JSON documents (the columns that the detectors read).
+
+    ``on`` may be a name, a list or an object; steps without an id are numbered.  Broken documents give no rows.
+    """
+    def text(v: str, p: str) -> Column:
+        return F.try_variant_get(F.col(v), p, "string")
+
+    def scopes(v: str) -> Column:
+        m = F.try_variant_get(F.col(v), "$.permissions", "map<string,string>")
+        return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"), text(v, "$.permissions"))
+
+    on = F.coalesce(F.try_variant_get("w", "$.on", "array<string>"), F.map_keys(F.try_variant_get("w", "$.on", "map<string,variant>")), F.array(text("w", "$.on")))
+    w = df.select(F.col(path).alias("workflow"), F.try_parse_json(F.col(document)).alias("w")).where("w is not null")
+    w = w.select("workflow", on.alias("triggers"), scopes("w").alias("workflow_permissions"), F.explode(F.try_variant_get("w", "$.jobs", "map<string,variant>")).alias("job", "j"))
+    s = w.select("workflow", "triggers", "workflow_permissions", "job", scopes("j").alias("job_permissions"), text("j", "$.runs-on").alias("runs_on"), F.posexplode(F.try_variant_get("j", "$.steps", "array<variant>")).alias("n", "s"))
+    return s.select(
+        "workflow", "triggers", "workflow_permissions", "job", "job_permissions", "runs_on",
+        F.coalesce(text("s", "$.id"), F.concat(F.lit("step"), "n")).alias("step"), text("s", "$.uses").alias("uses"), text("s", "$.with.ref").alias("ref_arg"), text("s", "$.run").alias("run"),
+    )
+
+
 def action_name(uses: Column) -> Column:
     return F.substring_index(uses, "@", 1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeworks import sinks
 from lodeworks.fact_queries import query
 from lodeworks.functions import versions
-from lodeworks.operators import build_spec, checks, dataflow, patterns, policy, provenance, resolution, sbom, tags, workflow
+from lodeworks.operators import build_spec, checks, dataflow, decisions, patterns, policy, provenance, resolution, sbom, tags, workflow
 from lodeworks.operators.relational import first_per_group
 from lodeworks.sources import readers
 from lodeworks.sources.facts import NOW, Facts
@@ -402,3 +402,32 @@ def action_effects(f: Facts) -> DataFrame:
     uses = F.when(k % 4 == 0, "org/unknown@v1").when(k % 3 == 0, "actions/upload-artifact@v4").when(k % 3 == 1, "actions/download-artifact@v4").otherwise("actions/setup-java@v4")
     s = f.table("part").select(k.alias("node"), uses.alias("uses"), F.concat(F.lit("a"), "p_size").alias("name"), F.concat(F.lit("dist"), "p_size").alias("path"), F.col("p_size").cast("string").alias("version"))
     return dataflow.action_effects(s).drop("suffix")
+
+
+@query("check_scan", """+ f AS (SELECT p_partkey AS id, p_partkey % 5 <> 0 AS repo, p_partkey % 3 = 0 AS tool, p_partkey % 7 = 0 AS trusted, p_partkey % 4 = 0 AS deploys, p_partkey % 2 = 0 AS builds, p_partkey % 6 = 0 AS prov FROM part),
+g AS (SELECT *, CASE WHEN repo AND trusted THEN 'PASSED' ELSE 'FAILED' END AS tb FROM f), h AS (SELECT *, CASE WHEN tb = 'PASSED' OR deploys THEN 'PASSED' ELSE 'FAILED' END AS code FROM g)
+SELECT id AS component_id, t.check_id, t.result_type FROM h, LATERAL (SELECT 'mcn_version_control_system_1' AS check_id, CASE WHEN repo THEN 'PASSED' ELSE 'FAILED' END AS result_type
+UNION ALL SELECT 'mcn_build_tool_1', CASE WHEN NOT repo THEN 'SKIPPED' WHEN tool THEN 'PASSED' ELSE 'FAILED' END
+UNION ALL SELECT 'mcn_build_script_1', CASE WHEN repo AND tool THEN 'PASSED' ELSE 'FAILED' END
+UNION ALL SELECT 'mcn_trusted_builder_level_three_1', tb UNION ALL SELECT 'mcn_build_as_code_1', code
+UNION ALL SELECT 'mcn_build_service_1', CASE WHEN code = 'PASSED' OR builds THEN 'PASSED' ELSE 'FAILED' END
+UNION ALL SELECT 'mcn_find_artifact_pipeline_1', CASE WHEN code = 'PASSED' THEN 'FAILED' ELSE 'SKIPPED' END
+UNION ALL SELECT 'mcn_provenance_available_1', CASE WHEN prov THEN 'PASSED' ELSE 'FAILED' END
+UNION ALL SELECT 'mcn_provenance_verified_1', 'FAILED' UNION ALL SELECT 'mcn_provenance_derived_repo_1', 'FAILED' UNION ALL SELECT 'mcn_provenance_derived_commit_1', 'FAILED'
+UNION ALL SELECT 'mcn_provenance_expectation_1', CASE WHEN prov THEN 'UNKNOWN' ELSE 'FAILED' END UNION ALL SELECT 'mcn_provenance_witness_level_one_1', CASE WHEN prov THEN 'UNKNOWN' ELSE 'FAILED' END
+UNION ALL SELECT 'mcn_scm_authenticity_1', 'UNKNOWN' UNION ALL SELECT 'mcn_detect_malicious_metadata_1', 'PASSED'
+UNION ALL SELECT 'mcn_githubactions_vulnerabilities_1', CASE WHEN repo THEN 'PASSED' ELSE 'SKIPPED' END
+UNION ALL SELECT 'mcn_license_1', 'PASSED' UNION ALL SELECT 'mcn_registry_maintainability_1', 'UNKNOWN') t""")
+def check_scan(f: Facts) -> DataFrame:
+    k = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    facts = f.table("part").select(
+        k.alias("component_id"),
+        F.when(k % 5 != 0, "https://github.com/o/n").alias("repository"),
+        F.when(k % 3 == 0, F.array(F.lit("maven"))).otherwise(none).alias("build_tools"),
+        F.when(k % 7 == 0, F.array(F.lit("org/builder@v1"))).alias("uses"),
+        F.when(k % 4 == 0, F.array(F.lit("mvn deploy"))).alias("deploy_commands"),
+        F.when(k % 2 == 0, F.array(F.lit("mvn package"))).alias("build_commands"),
+        (k % 6 == 0).alias("provenance"),
+    )
+    return decisions.evaluate(facts, decisions.built_in(trusted_builders=("org/builder",))).select("component_id", "check_id", "result_type")

@@ -98,3 +98,12 @@ def local_artifacts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """``(path, sha256)`` of files below a folder."""
     b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     return b.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def nearest_file_above(files: DataFrame, key: str, path: str, name: str) -> DataFrame:
+    """``(key, path, found)``: for every file, the file ``name`` in its directory or the nearest one above; an equi-join on the directories above."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))
+    ups = files.select(key, path, F.explode(above).alias("_dir"))
+    here = files.where(F.element_at(parts, -1) == name).select(key, F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 1)).alias("_dir"), F.col(path).alias("found"))
+    return ups.join(here, [key, "_dir"]).groupBy(key, path).agg(F.max_by("found", F.length("_dir")).alias("found"))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeworks import sinks
+from lodeworks.functions import text as tx
 from lodeworks.functions import urls, versions
 from lodeworks.operators import build_spec, checks, dataflow, graph, heuristics, patterns, policy, provenance, relational, resolution, tags, workflow
 from lodeworks.plans import datalog
@@ -447,3 +448,25 @@ def test_relational(spark):
     assert relational.existing_columns(d, ["s", "nope"]).columns == ["s"] and relational.resolve_table(spark, "nope") is None
     f = spark.createDataFrame([(1, None, None), (2, 1, None), (3, 2, None)], "node int, parent int, kind string").withColumn("kind", F.when(F.col("node") == 1, "job").otherwise("step"))
     assert {tuple(r) for r in resolution.nearest_ancestor(f, "job").collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_workflow_documents(spark):
+    doc = {"on": {"pull_request_target": {}}, "jobs": {"b": {"permissions": {"contents": "write"}, "runs-on": "self-hosted", "steps": [{"id": "c", "uses": "actions/checkout@v4", "with": {"ref": "${{ github.head_ref }}"}}, {"run": "make"}]}, "empty": {}}}
+    docs = [json.dumps(doc), json.dumps({"on": ["push"], "permissions": "read-all", "jobs": {"a": {"steps": [{"run": "x"}]}}}), json.dumps({"on": "push", "jobs": {"a": {"steps": [{"run": "x"}]}}}), "{", None]
+    s = workflow.flatten(spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "p string, d string"), "p", "d")
+    rows = {(r.workflow, r.step): r for r in s.collect()}
+    assert set(rows) == {("0", "c"), ("0", "step1"), ("1", "step0"), ("2", "step0")}
+    assert rows["0", "c"].triggers == ["pull_request_target"] and rows["0", "c"].job_permissions == "contents: write" and rows["1", "step0"].workflow_permissions == "read-all" and rows["2", "step0"].triggers == ["push"]
+    found = {(r.workflow, r.finding) for r in workflow.step_findings(s).collect()}
+    assert {("0", "overbroad-permissions"), ("0", "self-hosted-runner"), ("0", "pr-target-untrusted-checkout"), ("0", "privileged-trigger"), ("0", "unpinned-third-party-action")} == found
+
+
+def test_texts(spark):
+    assert vals(spark, ["aGk=", "aGk", "a", "!!", "/w==", None], tx.decode_base64) == ["hi", "hi", None, None, None, None]
+    assert vals(spark, ["a/b/", "c"], tx.basename) == ["b", "c"]
+    assert vals(spark, ["run 'a b' \"c\"d e"], tx.quoted_words) == [["run", "a b", "cd", "e"]]
+    assert vals(spark, ["x/deploy-prod.yml", "undeployed.yml", "test_release.yml"], lambda c: tx.deploy_evidence(c, F.lit(True))) == [1.0, 0.7, 0.7]
+    assert vals(spark, ["a.b.c"], lambda c: tx.split_literal(c, ".")) == [["a", "b", "c"]]
+    assert val(spark, tx.best_effort(F.unhex(F.lit("E9")))) == "é" and val(spark, tx.concat_capped(F.lit("x"), F.repeat(F.lit("y"), 10_000))) is None
+    f = spark.createDataFrame([(1, "pom.xml"), (1, "a/b/c.java"), (1, "a/pom.xml"), (2, "x/y")], "k int, p string")
+    assert {(r.k, r.p): r.found for r in readers.nearest_file_above(f, "k", "p", "pom.xml").collect()} == {(1, "pom.xml"): "pom.xml", (1, "a/b/c.java"): "a/pom.xml", (1, "a/pom.xml"): "a/pom.xml"}
