@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks import sinks
-from lodeworks.fact_queries import query
+from lodeworks.fact_queries import ORACLES, query
 from lodeworks.functions import versions
 from lodeworks.operators import build_spec, checks, dataflow, decisions, patterns, policy, provenance, resolution, sbom, tags, workflow
 from lodeworks.operators.relational import first_per_group
@@ -431,3 +431,18 @@ def check_scan(f: Facts) -> DataFrame:
         (k % 6 == 0).alias("provenance"),
     )
     return decisions.evaluate(facts, decisions.built_in(trusted_builders=("org/builder",))).select("component_id", "check_id", "result_type")
+
+
+#: Nested records by walking whole documents as trees; an index is put behind array keys that were written as a lone object.
+_LONE = r"'\.(hashes|externalReferences|components|subject|materials|resolvedDependencies)([.]|$)', '.\1[0]\2', 'g'"
+ORACLES["p5_found"] = (
+    _ATT
+    + r""", docs AS (SELECT 'bom_documents' AS src, bom_num AS rec_id, bom_json AS j FROM bom_documents WHERE json_valid(bom_json) AND json_type(bom_json) = 'OBJECT'
+UNION ALL SELECT 'attestations', att_num, j FROM d WHERE json_type(j) = 'OBJECT'),
+l AS (SELECT src, rec_id, t.fullkey AS k, json_extract_string(t.value, '$') AS v FROM docs, json_tree(docs.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+n AS (SELECT src, rec_id, v, regexp_replace(regexp_replace(k, LONE), LONE) AS p FROM l)
+SELECT src, rec_id, regexp_extract(p, '^\$\.?(.*?)\.?(hashes|externalReferences)\[(\d+)\]\.(content|url)$', 1) AS parent_path, regexp_extract(p, '(hashes|externalReferences)\[\d+\]\.(content|url)$', 1) AS child_kind,
+CAST(regexp_extract(p, '\[(\d+)\]\.(content|url)$', 1) AS BIGINT) AS child_pos, v AS child_value FROM n WHERE src = 'bom_documents' AND regexp_matches(p, '(^\$\.|\.)(hashes\[\d+\]\.content|externalReferences\[\d+\]\.url)$')
+UNION ALL SELECT src, rec_id, regexp_extract(p, '^\$\.?(.*?)\.?digest\.([^.]+)$', 1), 'digest.' || regexp_extract(p, 'digest\.([^.]+)$', 1), 0, v FROM n WHERE src = 'attestations' AND regexp_matches(p, '(^\$\.|\.)digest\.[^.]+$')
+UNION ALL SELECT 'advisories', adv_num, 'affected[' || (i - 1) || ']', 'ranges', CAST(m - 1 AS BIGINT), r.type FROM (SELECT adv_num, i, unnest(a.ranges) AS r, generate_subscripts(a.ranges, 1) AS m FROM (SELECT adv_num, unnest(affected) AS a, generate_subscripts(affected, 1) AS i FROM advisories)) WHERE r.type IS NOT NULL"""
+).replace("LONE", _LONE)
