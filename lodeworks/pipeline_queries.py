@@ -446,3 +446,17 @@ CAST(regexp_extract(p, '\[(\d+)\]\.(content|url)$', 1) AS BIGINT) AS child_pos,
 UNION ALL SELECT src, rec_id, regexp_extract(p, '^\$\.?(.*?)\.?digest\.([^.]+)$', 1), 'digest.' || regexp_extract(p, 'digest\.([^.]+)$', 1), 0, v FROM n WHERE src = 'attestations' AND regexp_matches(p, '(^\$\.|\.)digest\.[^.]+$')
 UNION ALL SELECT 'advisories', adv_num, 'affected[' || (i - 1) || ']', 'ranges', CAST(m - 1 AS BIGINT), r.type FROM (SELECT adv_num, i, unnest(a.ranges) AS r, generate_subscripts(a.ranges, 1) AS m FROM (SELECT adv_num, unnest(affected) AS a, generate_subscripts(affected, 1) AS i FROM advisories)) WHERE r.type IS NOT NULL"""
 ).replace("LONE", _LONE)
+
+ORACLES["p5_components"] = (
+    r"""WITH t AS (SELECT bom_num AS rec_id, regexp_replace(regexp_replace(regexp_replace(t.fullkey, LONE), LONE), '^\$\.', '') AS path, t.value AS v FROM (SELECT bom_num, bom_json FROM bom_documents WHERE json_valid(bom_json) AND json_type(bom_json) = 'OBJECT') b, json_tree(b.bom_json) t WHERE t.type = 'OBJECT'),
+c AS (SELECT rec_id, path, v, regexp_extract(path, '^(.*?)\.?components\[\d+\]$', 1) AS parent_path, CAST(regexp_extract(path, 'components\[(\d+)\]$', 1) AS INTEGER) AS pos FROM t WHERE regexp_matches(path, '(^|\.)components\[\d+\]$'))
+SELECT rec_id, path, CASE WHEN regexp_matches(parent_path, 'components\[\d+\]$') THEN parent_path ELSE '' END AS parent_row, parent_path, pos, json_extract_string(v, '$."bom-ref"') AS "bom-ref", json_extract_string(v, '$.type') AS type,
+json_extract_string(v, '$.group') AS "group", json_extract_string(v, '$.name') AS name, json_extract_string(v, '$.version') AS version, json_extract_string(v, '$.purl') AS purl FROM c"""
+).replace("LONE", _LONE)
+ORACLES["p4_lifespans"] = """
+WITH l AS (SELECT feed, file_seq, line FROM feed_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
+e AS (SELECT feed, file_seq, k, json_extract(line, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(line)) AS k FROM l)),
+t AS (SELECT DISTINCT feed, file_seq, k, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS ty FROM e WHERE json_type(v) <> 'NULL'),
+files AS (SELECT feed, file_seq, row_number() OVER (PARTITION BY feed ORDER BY file_seq) AS n FROM (SELECT DISTINCT feed, file_seq FROM feed_lines)),
+i AS (SELECT t.*, n - row_number() OVER (PARTITION BY feed, k, ty ORDER BY n) AS island FROM t JOIN files USING (feed, file_seq))
+SELECT feed AS producer, k AS field, ty AS kind, min(file_seq) AS first_seq, max(file_seq) AS last_seq, count(*) AS files FROM i GROUP BY feed, k, ty, island"""
