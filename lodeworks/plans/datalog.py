@@ -462,14 +462,25 @@ class Engine:
             if a.name not in relations and i not in swap:
                 raise RuleError(f"unknown relation {a.name}")
             d, names, later = self._scan(a, swap.get(i, relations.get(a.name)))
-            needed_after = wanted | {v for _, x in positive for t in x.args for v in _vars(t)} | {v for x in rest for v in _literal_vars(x)} | {v for c in later for v in _literal_vars(c)}
+            needed_after = wanted | {v for _, x in positive for t in x.args for v in _vars(t)} | {v for x in [*rest, *later] for v in _needs(x)}
             if frame is None:
                 frame = d
             else:
                 on = [f"v_{v}" for v in sorted(names & bound)]
                 if on:
                     frame = frame.join(d, on) if (names - bound) & needed_after else frame.join(d.select(*on).distinct(), on, "left_semi")
-                elif not names & needed_after:  # only asks whether there is such a row
+                    bound |= names
+                    rest = later + rest
+                    continue
+                # Nothing in common with what is joined so far: its own conditions first, and if no head or other literal
+                # needs its variables, it only asks whether there is such a row.
+                for x in [x for x in rest if not isinstance(x, Atom) and _literal_vars(x) and set(_literal_vars(x)) <= names]:
+                    done = self._apply(x, d, names, relations)
+                    if done is not None:
+                        d, _ = done
+                        rest.remove(x)
+                needed_after = wanted | {v for _, x in positive for t in x.args for v in _vars(t)} | {v for x in [*rest, *later] for v in _needs(x)}
+                if not names & needed_after:
                     frame = frame.withColumn("_one", F.lit(1)).join(d.select(F.lit(1).alias("_one")).limit(1), "_one", "left_semi").drop("_one")
                 else:
                     frame = frame.crossJoin(d)
@@ -615,6 +626,16 @@ def _literal_vars(x) -> list[str]:
     return _vars(x.left) + _vars(x.right)
 
 
+def _needs(x) -> list[str]:
+    """Variables a literal reads, those inside its aggregates included."""
+    out = _literal_vars(x)
+    if isinstance(x, Compare):
+        for t in (x.left, x.right):
+            if t.kind == "agg":
+                out = out + [v for y in t.args[1] for v in _needs(y)]
+    return out
+
+
 def relations_read(text: str) -> list[str]:
     """Relations that a policy text refers to without defining them."""
     p = parse(text)

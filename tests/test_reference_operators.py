@@ -137,6 +137,29 @@ def test_rules_match_is_anchored_and_emptiness(spark):
     assert out["r"] == {("pkg:a/x",)} and out["q"] == {("pkg:a/xy",)}
 
 
+def test_rules_with_unrelated_atoms(spark):
+    q = spark.createDataFrame([(1,), (2,)], "x long")
+    r = spark.createDataFrame([(2, 7), (3, 8)], "l long, m long")
+    out = run(spark, """
+    .decl q(x: number)
+    .decl r(l: number, m: number)
+    .decl a(x: number)
+    .decl b(x: number)
+    .decl c(x: number)
+    .decl d(x: number, m: number)
+    .decl e(x: number)
+    a(x) :- q(x), r(l, _), l = 2.
+    b(x) :- q(x), r(l, _), l = 9.
+    c(x) :- r(_, _), q(x).
+    d(x, m) :- q(x), r(l, m), l < 3.
+    e(1) :- r(_, 8).
+    .decl f(x: number)
+    f(x) :- q(x), r(l, _), l = 3, 1 = count : { r(l, _y) }.
+    """, q=q, r=r)
+    assert out.pop("f") == {(1,), (2,)}
+    assert out == {"a": {(1,), (2,)}, "b": set(), "c": {(1,), (2,)}, "d": {(1, 7), (2, 7)}, "e": {(1,)}}
+
+
 def test_rules_recursive_subsumption(spark):
     out = run(spark, """
     .decl e(a: number, b: number, w: number)
