@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _PATTERN = r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(a|b|c|rc|alpha|beta|pre|preview)[-_.]?([0-9]*))?(?:(-[0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?\s*$"
 
+_NUMERIC = r"^[0-9]+(?:\.[0-9]+)*$"
+
 
 def _g(v: Column, n: int) -> Column:
     return F.regexp_extract(v, _PATTERN, n)
@@ -16,25 +18,30 @@ def _int(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def _release(r: Column) -> Column:
+    """Release numbers without trailing zeros, each raised by one: 0 ends the release, so that 1 comes before 1.1."""
+    parts = F.filter(F.split(F.regexp_replace(r, r"(?:^|\.)0+(?:\.0+)*$", ""), r"\."), lambda x: x != "")
+    return F.transform(parts, lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")) + 1)
+
+
 def version_key(v: Column) -> Column:
     """Sortable array of a PEP 440 version; null if it is none.
 
     Layout: epoch, release numbers without trailing zeros, a terminator, then ranks for pre, post and development
     releases.  Arrays compare element by element, so comparing keys is comparing versions.
     """
-    release = F.transform(F.split(_g(v, 2), r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")))
-    trimmed = F.reverse(F.aggregate(F.reverse(release), F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) & (x == 0), acc).otherwise(F.concat(acc, F.array(x)))))
     pre, post, dev = F.lower(_g(v, 3)), (_g(v, 5) != "") | (_g(v, 6) != ""), _g(v, 8) != ""
     rank = F.when(pre.isin("a", "alpha"), 1).when(pre.isin("b", "beta"), 2).when(pre != "", 3).when(dev & ~post, 0).otherwise(4).cast("bigint")
     post_n = F.when(post, _int(F.regexp_replace(F.concat(_g(v, 5), _g(v, 7)), "-", ""))).otherwise(-1).cast("bigint")
     dev_n = F.when(dev, _int(_g(v, 9))).otherwise(F.lit(2**62)).cast("bigint")
-    shifted = F.transform(trimmed, lambda x: x + 1)  # 0 ends the release, so that 1 comes before 1.1
-    return F.when(v.rlike(_PATTERN), F.concat(F.array(_int(_g(v, 1))), shifted, F.array(F.lit(0).cast("bigint"), rank, _int(_g(v, 4)), post_n, dev_n)))
+    full = F.concat(F.array(_int(_g(v, 1))), _release(_g(v, 2)), F.array(F.lit(0).cast("bigint"), rank, _int(_g(v, 4)), post_n, dev_n))
+    plain = F.concat(F.array(F.lit(0).cast("bigint")), _release(v), F.array(*[F.lit(x).cast("bigint") for x in (0, 4, 0, -1, 2**62)]))
+    return F.when(v.rlike(_NUMERIC), plain).when(v.rlike(_PATTERN), full)  # most versions are plain numbers and skip the grammar
 
 
 def numeric_key(v: Column) -> Column:
     """Key of a purely numeric version, exact for ``1.2.3`` forms; null for anything else."""
-    return F.when(v.rlike(r"^[0-9]+(\.[0-9]+)*$"), version_key(v))
+    return F.when(v.rlike(_NUMERIC), version_key(v))
 
 
 def last_events(events: Column) -> Column:
