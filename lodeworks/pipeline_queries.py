@@ -271,8 +271,8 @@ UNION SELECT t.node, t.location, t.value FROM st s, LATERAL (SELECT e.dst AS nod
 UNION ALL SELECT s.node, 'b', 'x' || s.value WHERE s.location = 'a' AND s.node % 5 = 1) t)
 SELECT node, location, value FROM st""")
 def dataflow_fixpoint(f: Facts) -> DataFrame:
-    nodes = f.component.where("id < 400").select(F.col("id").alias("node"))
-    edges = f.dependency.where("parent < 400 and child < 400").select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    nodes = f.component.select(F.col("id").alias("node"))
+    edges = f.dependency.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
     none = F.lit(None).cast("string")
     lit = nodes.where("node % 5 = 0").select("node", F.lit("./a").alias("location"), F.concat(F.lit("lit"), "node").alias("prefix"), none.alias("source"), none.alias("suffix"))
     cat = nodes.where("node % 5 = 1").select("node", F.lit("b").alias("location"), F.lit("x").alias("prefix"), F.lit("a").alias("source"), none.alias("suffix"))
