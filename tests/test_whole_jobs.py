@@ -22,3 +22,16 @@ def test_dataflow_fixpoint_takes_all_components(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["dataflow_fixpoint"](spark, parts(spark, tmp_path, ids)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert max(n for n, _, _ in want) > 20_000
+
+
+def test_nearest_ancestor_takes_all_parts(spark, tmp_path):
+    ids, want = [*range(1, 40), *range(2_990, 3_010), *range(1_495, 1_505), 747, 748, 749, 750, 751, 752, 373, 374, 375, 376, 186, 187, 188, 93, 94, 46, 47], set()
+    for k in ids:
+        at = k
+        while at in ids and at % 7:
+            at //= 2
+        if at in ids:
+            want.add((k, at))
+    got = [tuple(r) for r in QUERIES["nearest_ancestor"](spark, parts(spark, tmp_path, ids)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert max(n for n, _ in want) >= 3_000
