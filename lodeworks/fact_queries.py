@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lodeworks.functions import urls, versions
 from lodeworks.operators import checks, graph, heuristics, policy, relational
 from lodeworks.plans import datalog
+from lodeworks.session import cut
 from lodeworks.sources.facts import FACTS_SQL, NOW, Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,11 +580,17 @@ def anomalous_version(f: Facts) -> DataFrame:
     return x.select("id", a.alias("a")).select("id", "a.kind", "a.result")
 
 
+#: A component name recorded this often, in whatever letter case, is popular.
+POPULAR_FROM = 10
+
+
 @query("typosquat_candidates")
 def typosquat_candidates(f: Facts) -> DataFrame:
-    names = f.table("bom_components").select(F.lower(F.regexp_extract("comp_name", "^[A-Za-z]+", 0)).alias("name")).where("name <> ''").distinct()
-    popular = [r.name for r in names.orderBy("name").limit(200).collect()]
-    return heuristics.typosquatting(names, "name", popular)
+    name = F.lower(F.regexp_replace("comp_name", r"(?U)^\s+|\s+$", ""))
+    names = cut(f.table("bom_components").select(name.alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n")))
+    # One more than the operator takes: a longer list is refused there, not shortened here.
+    popular = [r.name for r in names.where(F.col("n") >= POPULAR_FROM).orderBy(F.col("n").desc(), "name").limit(100_001).collect()]
+    return heuristics.typosquatting(names.select("name"), "name", popular)
 
 
 _EMAIL = r"\b[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*\.[A-Za-z]{2,}\b"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,29 +188,59 @@ def name_ratio(a: str, b: str, scaling: float = 0.15) -> float:
     return j + same * scaling * (1 - j)
 
 
+def letter_bits(name: str) -> int:
+    """64 bits for the letters of a name with their repetitions; what two names share, their bits share."""
+    out, seen = 0, {}
+    for c in name:
+        k = seen[c] = seen.get(c, -1) + 1
+        n = ord(c) - 97
+        out |= 1 << (n + 26 * k if 0 <= n < 26 and k < 2 else 52 + (ord(c) + 5 * k) % 12)
+    return out
+
+
+class NameIndex:
+    """Names in their order, and for another name those whose ratio to it may reach the threshold: none that does is left out.
+
+    Of a name's letters, at least as many stay unmatched as it has bits that the other lacks.  With m matches
+    jaro <= (m/|a| + m/|b| + 1) / 3, and the ratio grows with jaro and with the number of equal first letters.
+    """
+
+    def __init__(self, names: Sequence[str], threshold: float, scaling: float = 0.15):
+        self.names, self.threshold, self.scaling = names, threshold, scaling
+        self.length = np.array([len(n) for n in names], np.int64)
+        self.per = 1.0 / np.maximum(self.length, 1)
+        self.bits = np.array([letter_bits(n) for n in names], np.uint64)
+        self.head = np.array([[ord(c) for c in n[:4]] + [-1] * (4 - len(n[:4])) for n in names], np.int64).reshape(-1, 4)
+
+    def near(self, x: str) -> list[int]:
+        """Places in the order of the list."""
+        if not x:
+            return [i for i, n in enumerate(self.names) if not n]
+        b = np.uint64(letter_bits(x))
+        most = np.minimum(len(x) - np.bitwise_count(b & ~self.bits).astype(np.int64), self.length - np.bitwise_count(self.bits & ~b).astype(np.int64))
+        bound = (most * (self.per + 1.0 / len(x)) + 1.0) / 3.0
+        best = 4 * self.scaling
+        at = np.flatnonzero(bound + best * (1.0 - bound) >= self.threshold - 1e-9)
+        head = np.array([ord(c) for c in x[:4]] + [-2] * (4 - len(x[:4])), np.int64)
+        same = np.logical_and.accumulate(self.head[at] == head, axis=1).sum(axis=1)
+        bound = bound[at]
+        return at[bound + same * self.scaling * (1.0 - bound) >= self.threshold - 1e-9].tolist()
+
+
 def typosquatting(names: DataFrame, name: str, popular: Sequence[str], threshold: float = 0.95, most: int = 100_000) -> DataFrame:
     """``(name, result, popular, ratio)`` against a list in its order: an exact hit passes, the first similar one fails.
 
-    The list ships to the workers, so its length is checked.  A pair can reach the threshold only if the shorter name has
-    enough of the longer one's length; names are compared with those lengths only.
+    The list ships to the workers, so its length is checked.  A name is compared with those of :class:`NameIndex`.
     """
     if len(popular) > most:
         raise ValueError(f"more than {most} popular names")
-    rank = {p: i for i, p in reversed(list(enumerate(popular)))}
-    by_length: dict[int, list[str]] = {}
-    for p in popular:
-        by_length.setdefault(len(p), []).append(p)
+    popular = list(dict.fromkeys(popular))
 
-    # With p of 4 equal first letters, ratio >= t needs jaro >= (t - 0.6) / 0.4; jaro <= (2 + short/long) / 3.
-    least = max(0.0, 3 * (threshold - 0.6) / 0.4 - 2)
-
-    def look(x: str | None) -> tuple[str, str | None, float | None]:
-        if not popular:
-            return SKIP, None, None
-        if x is None:
+    def look(index: NameIndex, x: str | None) -> tuple[str, str | None, float | None]:
+        if not popular or x is None:
             return SKIP, None, None
-        near = sorted((rank[p], p) for n, ps in by_length.items() if min(n, len(x)) >= least * max(n, len(x)) for p in ps)
-        for _, p in near:
+        for i in index.near(x):
+            p = popular[i]
             if p == x:
                 return PASS, None, None
             r = name_ratio(x, p)
@@ -221,8 +252,9 @@ def typosquatting(names: DataFrame, name: str, popular: Sequence[str], threshold
 
     @F.pandas_udf(schema)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = NameIndex(popular, threshold)
         for s in batches:
-            yield pd.DataFrame([look(x) for x in s], columns=["result", "popular", "ratio"])
+            yield pd.DataFrame([look(index, x) for x in s], columns=["result", "popular", "ratio"])
 
     return names.select(F.col(name), udf(F.col(name)).alias("r")).select(name, "r.result", "r.popular", "r.ratio")
 

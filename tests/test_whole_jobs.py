@@ -1,7 +1,10 @@
 """Registered queries over small tables of their own: nothing is left out by key, by form of name or by number."""
 
+import random
+
 from lodeworks import pipeline_queries  # noqa: F401 - registers its queries
 from lodeworks.fact_queries import QUERIES
+from lodeworks.operators import heuristics
 
 
 def parts(spark, folder, keys):
@@ -35,3 +38,40 @@ def test_nearest_ancestor_takes_all_parts(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["nearest_ancestor"](spark, parts(spark, tmp_path, ids)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert max(n for n, _ in want) >= 3_000
+
+
+def bom(spark, folder, names=(), groups=()):
+    rows = [(i, n, g) for i, (n, g) in enumerate([*((n, None) for n in names), *(("c", g) for g in groups)])]
+    spark.createDataFrame(rows, "row_id long, comp_name string, group_name string").write.parquet(f"{folder}/bom_components.parquet")
+    return str(folder)
+
+
+def test_typosquatting_compares_whole_names_with_all_popular_ones(spark, tmp_path):
+    # More than 200 popular names stand before those that are squatted.
+    names = [f"a{i:03}-filler" for i in range(220) for _ in range(10)] + ["Kogumr-tagger-http"] * 9 + [" kogumr-tagger-http\t", "zuvone.pruner.sql", *["zuvone.pruner.sql"] * 9]
+    names += ["kogumr-tagger-htpp", "kogumr-mixer-xml", "'zuvone.pruner.sq", "7zip-tagger", "(kinubr.pruner", " ", None]
+    got = {r.name: (r.result, r.popular) for r in QUERIES["typosquat_candidates"](spark, bom(spark, tmp_path, names)).collect() if "filler" not in r.name}
+    assert got == {
+        "kogumr-tagger-http": ("PASS", None), "zuvone.pruner.sql": ("PASS", None), "kogumr-tagger-htpp": ("FAIL", "kogumr-tagger-http"), "kogumr-mixer-xml": ("PASS", None),
+        "'zuvone.pruner.sq": ("FAIL", "zuvone.pruner.sql"), "7zip-tagger": ("PASS", None), "(kinubr.pruner": ("PASS", None),
+    }
+
+
+def test_name_index_leaves_out_no_pair():
+    r = random.Random(1)
+    names = ["".join(r.choice("abé-1") for _ in range(r.randint(0, 14))) for _ in range(150)] + ["".join(r.sample("requests-numpy", 14)) for _ in range(100)]
+    changed = []
+    for n in names:
+        w = list(n)
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(w))
+            w[at : at + r.randint(0, 2)] = r.choice(["", "a", "-", "é"])
+        changed.append("".join(w))
+    pairs = 0
+    for t in (0.95, 0.8):
+        index = heuristics.NameIndex(names, t)
+        for x in changed:
+            want = {i for i, p in enumerate(names) if heuristics.name_ratio(x, p) >= t}
+            pairs += len(want)
+            assert want <= set(index.near(x))
+    assert pairs > 300
