@@ -492,7 +492,7 @@ def repo_url_equiv(f: Facts) -> DataFrame:
 @query("same_org", r"""SELECT DISTINCT group_name, CASE WHEN regexp_matches(lower(group_name), '^(com|io|org)\.(github|gitlab|bitbucket)\.') THEN array_to_string(list_slice(string_split(lower(group_name), '.'), 1, 3), '.')
 ELSE array_to_string(list_slice(string_split(lower(group_name), '.'), 1, 2), '.') END AS organisation FROM bom_components WHERE regexp_full_match(group_name, '[A-Za-z0-9]+([.][A-Za-z0-9]+)+')""", facts=False)
 def same_org(f: Facts) -> DataFrame:
-    g = f.table("bom_components").where(F.col("group_name").rlike(r"\A[A-Za-z0-9]+([.][A-Za-z0-9]+)+\z")).select("group_name").distinct()
+    g = f.table("bom_components").where("group_name is not null").select("group_name").distinct()
     return g.select("group_name", urls.organisation(F.col("group_name")).alias("organisation"))
 
 

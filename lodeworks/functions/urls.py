@@ -76,9 +76,18 @@ def same_repository_key(url: Column) -> Column:
     return F.concat(host, path)
 
 
+#: Whitespace, quotes, brackets and closing marks around a name.
+_AROUND = r"""(?U)^[\s"'()<>\[\]{},;!]+|[\s"'()<>\[\]{},;!]+$"""
+
+
 def organisation(group_id: Column) -> Column:
-    """The labels of a group id that name its organisation: two, or three on a code host."""
-    labels = F.split(F.lower(group_id), r"\.")
+    """The labels of a group id that name its organisation: two, or three on a code host.
+
+    Whitespace around the id and its labels, marks that enclose or end it, and empty labels do not count.  A name without
+    a dot (``@scope`` too) is its own organisation; one without any label gives the empty text.
+    """
+    bare = F.regexp_replace(F.lower(group_id), _AROUND, "")
+    labels = F.filter(F.split(bare, r"(?U)\s*\.\s*"), lambda x: x != "")
     head = F.concat_ws(".", F.slice(labels, 1, 2))
     return F.when(head.isin(*CODE_HOST_GROUPS), F.concat_ws(".", F.slice(labels, 1, 3))).otherwise(head)
 

@@ -75,3 +75,13 @@ def test_name_index_leaves_out_no_pair():
             pairs += len(want)
             assert want <= set(index.near(x))
     assert pairs > 300
+
+
+def test_same_org_gives_every_group_an_organisation(spark, tmp_path):
+    want = {
+        "org.apache.commons": "org.apache", "Io-Leduft.Table": "io-leduft.table", "com-suzuda.proto": "com-suzuda.proto", "@gididr": "@gididr", " @mapava\r\n": "@mapava",
+        "\nOrg.Quillforge\u00a0": "org.quillforge", "com . furevl": "com.furevl", "org..suzars": "org.suzars", '"DEV.PUMOZL.KIT"': "dev.pumozl", "<org . quillforge)": "org.quillforge",
+        "forge.example/nebovu": "forge.example/nebovu", " com.GitHub.me.lib": "com.github.me", "solo": "solo", "": "", "\t": "",
+    }
+    rows = QUERIES["same_org"](spark, bom(spark, tmp_path, groups=[*want, *want, None])).collect()
+    assert len(rows) == len(want) and {r.group_name: r.organisation for r in rows} == want
