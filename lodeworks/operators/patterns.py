@@ -27,7 +27,7 @@ DEFAULT_RULES = (
     PatternRule("decode-and-execute", "obfuscation", r"\b(?:exec|eval)\s*\(.*\b(?:b64decode|unhexlify|fromhex|decompress|loads)\s*\("),
     PatternRule("hex-escape-run", "obfuscation", r"(?:\\x[0-9a-fA-F]{2}){8,}"),
     PatternRule("char-code-join", "obfuscation", r"join\s*\(\s*(?:map\s*\(\s*chr\b|\[?\s*chr\s*\()"),
-    PatternRule("dynamic-import", "obfuscation", r"__import__\s*\(\s*(?![\"'])"),
+    PatternRule("dynamic-import", "obfuscation", r"__import__\s*\(\s*+(?![\"'])"),
     PatternRule("environment-upload", "exfiltration", r"\b(?:post|put|urlopen|request)\s*\(.*\bos\.environ\b"),
     PatternRule("virtual-machine-probe", "anti_analysis", r"(?i)\b(?:vmware|virtualbox|qemu|sandboxie)\b"),
     PatternRule("debugger-probe", "anti_analysis", r"\bsys\.gettrace\s*\(\s*\)"),

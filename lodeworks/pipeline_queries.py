@@ -306,8 +306,7 @@ SELECT doc_id, CASE WHEN bool_or(regexp_matches(t, '(?i)\b(?:vmware|virtualbox|q
 def suspicious_patterns(f: Facts) -> DataFrame:
     d = f.table("documents").where("text is not null")
     lines = d.select("doc_id", F.lit("text").alias("path"), F.posexplode(F.split("text", "\n")).alias("no", "t"))
-    rules = [r for r in patterns.DEFAULT_RULES if r.rule in ("virtual-machine-probe", "debugger-probe", "hex-escape-run")]
-    return patterns.suspicious(patterns.pattern_hits(lines, "doc_id", "path", "no", "t", rules), d, "doc_id")
+    return patterns.suspicious(patterns.pattern_hits(lines, "doc_id", "path", "no", "t"), d, "doc_id")
 
 
 @query("provenance_expectation", _ATT + r""" SELECT att_num, json_extract_string(j, '$.predicateType') IS NOT NULL AND regexp_full_match(json_extract_string(j, '$.predicateType'), '.*/v0\.2') AND regexp_full_match(coalesce(json_extract_string(j, '$.predicate.buildType'), ''), '.*/go@v1') AS met FROM d""", facts=False)

@@ -85,3 +85,12 @@ def test_same_org_gives_every_group_an_organisation(spark, tmp_path):
     }
     rows = QUERIES["same_org"](spark, bom(spark, tmp_path, groups=[*want, *want, None])).collect()
     assert len(rows) == len(want) and {r.group_name: r.organisation for r in rows} == want
+
+
+def test_suspicious_patterns_runs_every_default_rule(spark, tmp_path):
+    bad = ["x\nexec(b64decode(s))", r"'\x41\x42\x43\x44\x45\x46\x47\x48'", "''.join(map(chr, a))", "__import__( name)", "requests.post(u, data=os.environ)", "if 'QEMU' in x:", "sys.gettrace()"]
+    good = ["exec(x)\nb64decode(y)", "__import__( 'os')", "os.environ", "", "join(a)"]
+    rows = [*enumerate([*bad, *good]), (99, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.result for r in QUERIES["suspicious_patterns"](spark, str(tmp_path)).collect()}
+    assert got == {i: "FAIL" if i < len(bad) else "PASS" for i in range(len(bad) + len(good))}
