@@ -13,7 +13,7 @@ they were built from.
   milliseconds, microseconds or nanoseconds, told apart by its size.
 
 Defined results: null, empty, blank, word-only and impossible values (month 13, hour 27, 30 February, day 366 of a common
-year, week 54) give null; a text longer than ``LONGEST`` characters is no time; a date without a time of day is no moment
+year, week 54) give null; a date without a time of day is no moment
 and gives null; a local time whose record has no known zone gives null.  Equal values give equal results; other columns
 pass through.
 """
@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters beyond which a text is not looked at: no writing of a time comes near.
-LONGEST = 80
+#: Characters beyond which a fraction is shortened, and a mask not kept for other texts.
+LONG = 80
 #: Years that transition tables cover; beyond them the nearest offset holds.
 YEARS = (1900, 2100)
 US = 1_000_000
@@ -384,8 +384,10 @@ def instants(texts: list[str | None], zones: list[str | None], orders: list[str
     by_mask: dict[str, list[int]] = {}
     clean: list[str] = [""] * n
     for i, t in enumerate(texts):
-        if t and len(t) <= LONGEST:
+        if t:
             c = t.translate(_PLAIN).strip()
+            if len(c) > LONG:
+                c = _FRACTION.sub(r"\1", c)
             if c and any(ch.isdigit() for ch in c):
                 clean[i] = c
                 by_mask.setdefault(shape_mask(c), []).append(i)
@@ -397,10 +399,14 @@ def instants(texts: list[str | None], zones: list[str | None], orders: list[str
 
 
 _PLAIN = {0x2212: "-", 0x2013: "-", 0xA0: " ", 9: " "}
+#: No other field has 20 digits, so a text that is no time stays none.
+_FRACTION = re.compile(r"(?<=[0-9][.,])([0-9]{20})[0-9]+")
 _PARSERS: dict[str, Parser | None] = {}
 
 
 def _parser(mask: str, sample: str) -> Parser | None:
+    if len(mask) > LONG:
+        return parser_for.__wrapped__(mask, sample)
     if mask not in _PARSERS:
         if len(_PARSERS) > 100_000:
             _PARSERS.clear()

@@ -4,7 +4,7 @@ import random
 
 from lodeworks import pipeline_queries  # noqa: F401 - registers its queries
 from lodeworks.fact_queries import QUERIES
-from lodeworks.operators import heuristics
+from lodeworks.operators import heuristics, timestamps
 
 
 def parts(spark, folder, keys):
@@ -94,3 +94,11 @@ def test_suspicious_patterns_runs_every_default_rule(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.result for r in QUERIES["suspicious_patterns"](spark, str(tmp_path)).collect()}
     assert got == {i: "FAIL" if i < len(bad) else "PASS" for i in range(len(bad) + len(good))}
+
+
+def test_times_of_any_length():
+    t = "2024-03-01T10:00:00"
+    texts = [t + "Z", " " * 90 + t + "Z" + "\t" * 90, t + ".123456" + "7" * 200 + "Z", "1709287200." + "1" * 100, "01.02." + "2" * 100, "9" * 200, "x1" * 5_000]
+    us, ok = timestamps.instants(texts, [None] * 7, [None] * 7)
+    assert ok.tolist() == [True] * 4 + [False] * 3
+    assert us[:4].tolist() == [1_709_287_200_000_000] * 2 + [1_709_287_200_123_456, 1_709_287_200_111_111]
