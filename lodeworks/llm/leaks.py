@@ -188,7 +188,9 @@ class Searcher:
                 first = best[first][1]
             dj0, di0 = runs[first][0], runs[first][1]
             dj1, di1 = runs[end][0] + runs[end][2] - 1, runs[end][1] + runs[end][2] - 1
-            if any(di0 <= a + EDGE and di1 >= b - EDGE for a, b in it.sentences) and di1 - di0 + 1 >= min(m, 2 * EDGE) and best[k][0] >= 0.5 * (di1 - di0 + 1):
+            # A stretch that covers the share alone need not hold a sentence.
+            whole = di1 - di0 + 1 >= self.share * m or any(di0 <= a + EDGE and di1 >= b - EDGE for a, b in it.sentences)
+            if whole and di1 - di0 + 1 >= min(m, 2 * EDGE) and best[k][0] >= 0.5 * (di1 - di0 + 1):
                 stretches.append((dj0, dj1, di0, di1))
         # Weighted chain: stretches follow each other in the document and in the item.
         stretches.sort(key=lambda s: (s[1], s[3]))

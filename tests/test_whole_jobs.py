@@ -4,6 +4,7 @@ import random
 
 from lodeworks import pipeline_queries  # noqa: F401 - registers its queries
 from lodeworks.fact_queries import QUERIES
+from lodeworks.llm import leaks
 from lodeworks.operators import heuristics, timestamps
 
 
@@ -102,3 +103,10 @@ def test_times_of_any_length():
     us, ok = timestamps.instants(texts, [None] * 7, [None] * 7)
     assert ok.tolist() == [True] * 4 + [False] * 3
     assert us[:4].tolist() == [1_709_287_200_000_000] * 2 + [1_709_287_200_123_456, 1_709_287_200_111_111]
+
+
+def test_a_lone_stretch_needs_no_sentence():
+    words = [f"w{i:02}" for i in range(40)]
+    s = leaks.Searcher(leaks.own_texts([(1, "s", " ".join(words))]))
+    assert [i for i, _ in s.leaks("before " + " ".join(words[8:32]) + " after")] == [1]
+    assert [i for i, _ in s.leaks("before " + " ".join(words[8:24]) + " after")] == []
