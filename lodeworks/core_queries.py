@@ -39,8 +39,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """All four columns: the instant of each value, or why there is none."""
-    return _times(spark, d, False).select("src", "rec_id", "field", "utc_us", F.when(F.col("raw").isNull(), "null").when(F.col("utc_us").isNull(), "unreadable").otherwise("moment").alias("status"))
+    """All four columns: the instant of each value, or why there is none, and the version of the zone data used."""
+    return _times(spark, d, False).select("src", "rec_id", "field", "utc_us", F.when(F.col("raw").isNull(), "null").when(F.col("utc_us").isNull(), "unreadable").otherwise("moment").alias("status"), F.lit(timestamps.zone_data_version()).alias("zone_data"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

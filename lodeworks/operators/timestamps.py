@@ -1,9 +1,9 @@
 """Problem 2: timestamps in mixed formats, precisions and time zones become one instant in UTC each.
 
-Method: every text is tokenised into its character-class shape mask (digits to ``9``, words to ``A``).  A mask is mapped
-to a parser once; all texts of a mask are then parsed together, as columns of digits cut from one fixed-width character
-array.  Local times are converted by binary search in zone transition tables, which carry the version of the zone data
-they were built from.
+Method: every text is tokenised into its character-class shape mask: digits, and words by what they may be (month, weekday,
+half of the day, anything else).  A mask is mapped to a parser once; all texts of a mask are then parsed together, as columns
+of digits cut from one fixed-width character array.  Local times are converted by binary search in zone transition tables,
+which carry the version of the zone data they were built from; workers whose version is another than the driver's stop.
 
 * A local time that occurs twice is the earlier one, a skipped one moves on by the skipped span: both mean the offset in
   force before the transition.
@@ -14,8 +14,9 @@ they were built from.
 
 Defined results: null, empty, blank, word-only and impossible values (month 13, hour 27, 30 February, day 366 of a common
 year, week 54) give null; a date without a time of day is no moment
-and gives null; a local time whose record has no known zone gives null.  Equal values give equal results; other columns
-pass through.
+and gives null; a local time whose record has no known zone gives null.  ``24:00:00`` is the end of its day; second 60, which
+only the last minute of a quarter of an hour can have, is the start of the next minute.  Equal values give equal results,
+in whatever order they come; other columns pass through.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ from pyspark.sql import types as T
 
 #: Characters beyond which a fraction is shortened, and a mask not kept for other texts.
 LONG = 80
-#: Years that transition tables cover; beyond them the nearest offset holds.
+#: Years of the transition table that nearly all times need.
 YEARS = (1900, 2100)
+#: No zone has a transition before this year.
+FIRST_TRANSITIONS = 1800
+#: After this many years the calendar and the rules of every zone repeat.
+CYCLE_YEARS, CYCLE_DAYS = 400, 146_097
 US = 1_000_000
 #: Writings that need no conversion: UTC with a capital T and Z, no or exactly six fraction digits.
 CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{6})?Z$"
@@ -46,6 +51,7 @@ CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{6})
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+_DAY_NAMES = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "tues", "thur", "thurs")
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -80,9 +86,9 @@ def zone_data_version() -> str:
         return "system"
 
 
-@lru_cache(maxsize=1024)
-def zone_table(name: str) -> ZoneTable | None:
-    """The table of a zone, or None if there is no such zone."""
+@lru_cache(maxsize=4096)
+def zone_table(name: str, first: int = YEARS[0], last: int = YEARS[1]) -> ZoneTable | None:
+    """The table of a zone from one year up to another, or None if there is no such zone."""
     try:
         zone = ZoneInfo(name)
     except Exception:  # noqa: BLE001 - names come from data: anything may be wrong with them
@@ -92,8 +98,8 @@ def zone_table(name: str) -> ZoneTable | None:
         t = (_EPOCH + timedelta(seconds=sec)).astimezone(zone)
         return int(t.utcoffset().total_seconds()), t.tzname()
 
-    lo = int((datetime(YEARS[0], 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
-    hi = int((datetime(YEARS[1], 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+    lo = int((datetime(first, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+    hi = int((datetime(last, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
     step, at, offsets, names = 14 * 86400, [], [], {}
     now, was = lo, state(lo)
     offsets.append(was[0])
@@ -122,19 +128,50 @@ def zone_table(name: str) -> ZoneTable | None:
     return ZoneTable(zone_data_version(), inst, off, inst + np.maximum(off[:-1], off[1:]), {k: v * US for k, v in names.items()})
 
 
+def local_to_utc(name: str, local: np.ndarray) -> np.ndarray | None:
+    """Instants of local times of a zone in any year, or None if there is no such zone."""
+    t = zone_table(name)
+    if t is None:
+        return None
+    out = t.to_utc(local)
+    lo, hi = (int(_civil_days(np.array([y]), np.array([1]), np.array([1]))[0]) * 86400 * US for y in YEARS)
+    if (early := local < lo).any():
+        out[early] = zone_table(name, FIRST_TRANSITIONS, YEARS[0]).to_utc(local[early])
+    if (late := local >= hi).any():
+        cycle = CYCLE_DAYS * 86400 * US
+        shift = (local[late] - hi) // cycle * cycle
+        out[late] = zone_table(name, YEARS[1], YEARS[1] + CYCLE_YEARS).to_utc(local[late] - shift) + shift
+    return out
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Masks and their parsers
 
-_TO_NINE = {c: 57 for c in range(48, 58)}
-_LETTERS = re.compile(r"[A-Za-z]{2,}")
+#: ASCII digits become ``9``, letters capitals.
+_FOLD = {**{c: 57 for c in range(48, 58)}, **{c: c - 32 for c in range(97, 123)}}
+_WORDS = re.compile(r"[A-Z]{2,}")
+#: Letters of the classes of words in a mask; a letter that stands alone (``T``, ``W``, ``Z``) is a capital.
+MONTH, WEEKDAY, HALF, OTHER = "m", "d", "p", "a"
+
+
+@lru_cache(maxsize=65_536)
+def _classed(word: str) -> str:
+    w = word.lower()
+    kind = MONTH if _month_number(w) else WEEKDAY if w in _DAYS or w in _DAY_NAMES else HALF if w in ("am", "pm") else OTHER
+    return kind * len(word)
 
 
 def shape_mask(text: str) -> str:
-    """Digits become ``9`` and letters of words ``A``; a single letter (``T``, ``W``, ``Z``) and everything else stand for themselves.
+    """Digits become ``9``, words the letter of their class; a single letter and everything else stand for themselves.
 
-    Texts of one mask have every field in the same place.
+    Texts of one mask have every field in the same place, and the same parser whichever of them is seen first.
     """
-    return _LETTERS.sub(lambda m: "A" * len(m[0]), text.translate(_TO_NINE)).upper()
+    return shape_masks([text])[0]
+
+
+def shape_masks(texts: list[str]) -> list[str]:
+    """Masks of texts without NUL characters, tokenised in one go."""
+    return _WORDS.sub(lambda m: _classed(m[0]), "\0".join(texts).translate(_FOLD)).split("\0") if texts else []
 
 
 class Shape(NamedTuple):
@@ -214,7 +251,8 @@ def _month_number(name: str) -> int:
 
 
 def _weekday_ok(text: str) -> bool:
-    return text[:3].lower() in _DAYS
+    w = re.match("[a-z]*", text.lower())[0]
+    return w in _DAYS or w in _DAY_NAMES
 
 
 class Fields:
@@ -340,8 +378,11 @@ def _convert(parser: Parser, texts: list[str], zones: list[str | None], orders:
         ok = ok & (pm != 3)
         ok = ok & ((pm == 2) | ((h >= 1) & (h <= 12)))
         h = np.where(pm == 2, h, h % 12 + 12 * (pm == 1))
-    ok = ok & (h <= 23) & (mi <= 59) & (s <= 59)
-    local = (days * 86400 + h * 3600 + mi * 60 + s) * US + f.micros()
+    micros = f.micros()
+    end_of_day = (h == 24) & (mi == 0) & (s == 0) & (micros == 0)
+    leap = (s == 60) & (mi % 15 == 14)
+    ok = ok & ((h <= 23) | end_of_day) & (mi <= 59) & ((s <= 59) | leap)
+    local = (days * 86400 + h * 3600 + mi * 60 + s) * US + np.where(leap, 0, micros)
     none = np.iinfo(np.int64).min
     off = np.full(f.n, none, np.int64)
     if f.has("o"):
@@ -368,12 +409,12 @@ def _convert(parser: Parser, texts: list[str], zones: list[str | None], orders:
         regions = f.words("r") if f.has("r") else None
         wanted = np.array([(regions[i] if regions and regions[i] else zones[i]) or "" for i in range(f.n)], dtype=object)
         for z in set(wanted[need]):
-            t = zone_table(z) if z else None
             here = need & (wanted == z)
-            if t is None:
+            utc = local_to_utc(z, local[here]) if z else None
+            if utc is None:
                 ok = ok & ~here
             else:
-                out[here] = t.to_utc(local[here])
+                out[here] = utc
     return out, ok
 
 
@@ -382,23 +423,19 @@ def instants(texts: list[str | None], zones: list[str | None], orders: list[str
     n = len(texts)
     us, valid = np.zeros(n, np.int64), np.zeros(n, bool)
     by_mask: dict[str, list[int]] = {}
-    clean: list[str] = [""] * n
-    for i, t in enumerate(texts):
-        if t:
-            c = t.translate(_PLAIN).strip()
-            if len(c) > LONG:
-                c = _FRACTION.sub(r"\1", c)
-            if c and any(ch.isdigit() for ch in c):
-                clean[i] = c
-                by_mask.setdefault(shape_mask(c), []).append(i)
+    clean = [_FRACTION.sub(r"\1", c) if len(c) > LONG else c for c in ((t or "").translate(_PLAIN).strip() for t in texts)]
+    for i, mask in enumerate(shape_masks(clean)):
+        by_mask.setdefault(mask, []).append(i)
     for mask, rows in by_mask.items():
+        if "9" not in mask:
+            continue
         p = _parser(mask, clean[rows[0]])
         if p is not None:
             us[rows], valid[rows] = _convert(p, [clean[i] for i in rows], [zones[i] for i in rows], [orders[i] for i in rows])
     return us, valid
 
 
-_PLAIN = {0x2212: "-", 0x2013: "-", 0xA0: " ", 9: " "}
+_PLAIN = {0x2212: "-", 0x2013: "-", 0xA0: " ", 9: " ", 0: "\x01"}
 #: No other field has 20 digits, so a text that is no time stays none.
 _FRACTION = re.compile(r"(?<=[0-9][.,])([0-9]{20})[0-9]+")
 _PARSERS: dict[str, Parser | None] = {}
@@ -428,9 +465,12 @@ def zone_rules(registries: DataFrame, key: str = "registry", zone: str = "tz_nam
 
 def utc_micros(value: Column, key: Column, rules: dict[str, tuple[str, str]]) -> Column:
     """Microseconds since 1970-01-01 UTC of a text written under the rules of ``key``; null if it is no moment."""
+    version = zone_data_version()
 
     @F.pandas_udf(T.LongType())
     def convert(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        if zone_data_version() != version:
+            raise RuntimeError(f"zone data {zone_data_version()} here and {version} on the driver give different instants")
         for texts, keys in batches:
             found = [rules.get(k, (None, None)) for k in keys]
             us, ok = instants(list(texts), [z for z, _ in found], [o for _, o in found])

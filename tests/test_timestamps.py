@@ -102,3 +102,42 @@ def test_spark_nulls_empty_and_clashing_columns(spark):
 def test_too_many_rules(spark):
     with pytest.raises(ValueError):
         ts.zone_rules(spark.range(5).selectExpr("cast(id as string) registry", "'UTC' tz_name", "'dmy' date_order"), most=3)
+
+
+def test_the_mask_tells_halves_of_the_day_from_zones_in_either_order():
+    half, zone = "2024-01-01 10:00 PM", "2024-01-01 10:00 UT"
+    want = {half: 22 * 3600, zone: 10 * 3600}
+    base = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp())
+    for texts in ([half, zone], [zone, half]):
+        ts._PARSERS.clear()
+        us, ok = ts.instants(texts, ["UTC"] * 2, ["dmy"] * 2)
+        assert ok.all()
+        assert [int(u) // ts.US - base for u in us] == [want[t] for t in texts]
+    assert ts.shape_mask("Tue, 05 May 2024 1:02 am GMT+3") != ts.shape_mask("Tue, 05 Abc 2024 1:02 am GMT+3")
+
+
+@pytest.mark.parametrize(
+    ("text", "utc"),
+    [
+        ("2016-12-31T23:59:60Z", "2017-01-01T00:00:00+00:00"),
+        ("2016-12-31T23:59:60.5Z", "2017-01-01T00:00:00+00:00"),
+        ("2024-02-29 24:00:00", "2024-03-01T00:00:00+00:00"),
+        ("2024-02-29 24:00:01", None),
+        ("2024-02-29 10:20:60", None),
+        ("Monkey, 05 Mar 2024 10:20:30", None),
+        ("2024-03-05\x0010:20:30", None),
+        ("2024-03-05 10:20:30\n", "2024-03-05T10:20:30+00:00"),
+        (" " * 90 + "2024-03-05 10:20:30" + " " * 90, "2024-03-05T10:20:30+00:00"),
+        ("2024-03-05 10:20:30." + "1" * 300 + "Z", "2024-03-05T10:20:30.111111+00:00"),
+    ],
+)
+def test_edges_of_days_minutes_and_lengths(text, utc):
+    assert one(text) == utc
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata"])
+@pytest.mark.parametrize("year", [1850, 1899, 2099, 2100, 2199, 2437, 2500, 2750, 9000])
+def test_years_beyond_the_usual_table_keep_their_summer_time(zone, year):
+    for month in (1, 4, 7, 10):
+        local = datetime(year, month, 15, 12, 0, tzinfo=ZoneInfo(zone))
+        assert one(local.strftime("%Y-%m-%d %H:%M:%S").rjust(19, "0"), zone) == local.astimezone(timezone.utc).isoformat()
