@@ -50,19 +50,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_lifespans(spark: SparkSession, d: str) -> DataFrame:
     """Lifespans of every feed, field and type."""
-    return schema_drift.lifespans(schema_drift.catalogue(_t(spark, d, "feed_lines")))
+    return schema_drift.lifespans(schema_drift.catalogue(_t(spark, d, "feed_lines"))).select("producer", "field", "kind", "first_seq", "last_seq", "files")
+
+
+def _aliases(lines: DataFrame) -> schema_drift.Aliases:
+    drift = schema_drift.Drift(lines)
+    return schema_drift.Aliases(drift.changes(), drift.catalogue)
 
 
 def _p4_table(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         lines = _t(spark, d, "feed_lines").where(F.col("feed_kind") == kind)
-        aliases = schema_drift.alias_table(schema_drift.changes(lines), schema_drift.catalogue(lines))
-        return schema_drift.unified(lines, aliases, keep=("line_id",))
+        return schema_drift.unified(lines, _aliases(lines), keep=("line_id",))
 
     query.__doc__ = f"All records of the {kind} feeds in one table."
     return query
 
 
+def _p4_values(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        lines = _t(spark, d, "feed_lines").where(F.col("feed_kind") == kind)
+        return schema_drift.long_values(lines, _aliases(lines), "line_id")
+
+    query.__doc__ = f"The filled cells of the one table of the {kind} feeds."
+    return query
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Hashes, references, ranges and digests, linked to the object that holds them."""
     boms = nesting.relations(_t(spark, d, "bom_documents"), "bom_num", "bom_json", nesting.BOM, {"hashes", "externalReferences"})
@@ -101,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_lifespans": p4_lifespans,
     "p4_bom_table": _p4_table("bom"),
     "p4_att_table": _p4_table("att"),
+    "p4_bom_values": _p4_values("bom"),
+    "p4_att_values": _p4_values("att"),
     "p5_found": p5_found,
     "p5_components": p5_components,
     "p5_schema_graph": p5_schema_graph,
