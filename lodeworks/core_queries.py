@@ -78,33 +78,40 @@ def _p4_values(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Hashes, references, ranges and digests, linked to the object that holds them."""
-    boms = nesting.relations(_t(spark, d, "bom_documents"), "bom_num", "bom_json", nesting.BOM, {"hashes", "externalReferences"})
-    atts = nesting.relations(_t(spark, d, "attestations"), "att_num", "payload", nesting.STATEMENT, {"digest"})
-    ranges = (
-        _t(spark, d, "advisories")
-        .select("adv_num", F.posexplode("affected").alias("i", "a"))
-        .select("adv_num", "i", F.posexplode("a.ranges").alias("j", "r"))
-        .where("r.type is not null")
-        .select(F.lit("advisories").alias("src"), F.col("adv_num").alias("rec_id"), F.concat(F.lit("affected["), "i", F.lit("]")).alias("parent_path"), F.lit("ranges").alias("child_kind"), F.col("j").cast("long").alias("child_pos"), F.col("r.type").alias("child_value"))
-    )
+    docs, atts = _t(spark, d, "bom_documents"), _t(spark, d, "attestations")
+    boms = nesting.relations(docs, "bom_num", "bom_json", nesting.graph_of(docs, "bom_json", nesting.BOM), {"hashes", "externalReferences"})
+    digests = nesting.relations(atts, "att_num", "payload", nesting.graph_of(atts, "payload", nesting.STATEMENT), {"digest"})
+    ranges = nesting.typed_table(_t(spark, d, "advisories"), "adv_num", ["affected"], "ranges")
     return (
         nesting.leaves(boms, "bom_documents", {"hashes": "content", "externalReferences": "url"})
-        .unionByName(nesting.leaves(atts, "attestations", {}, ("digest",)))
-        .unionByName(ranges)
+        .unionByName(nesting.leaves(digests, "attestations", {}, ("digest",)))
+        .unionByName(ranges.where("type is not null").select(F.lit("advisories").alias("src"), "rec_id", "parent_path", F.lit("ranges").alias("child_kind"), F.col("pos").cast("long").alias("child_pos"), F.col("type").alias("child_value")))
     )
 
 
 def p5_components(spark: SparkSession, d: str) -> DataFrame:
     """Flat table of all components of all documents with their parent links."""
-    rel = nesting.relations(_t(spark, d, "bom_documents"), "bom_num", "bom_json", nesting.BOM, {"components"})
+    docs = _t(spark, d, "bom_documents")
+    rel = nesting.relations(docs, "bom_num", "bom_json", nesting.graph_of(docs, "bom_json", nesting.BOM), {"components"})
     return nesting.table(rel, "components", ["bom-ref", "type", "group", "name", "version", "purl"])
 
 
+def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Flat table of the ranges of advisories with their parent links."""
+    return nesting.typed_table(_t(spark, d, "advisories"), "adv_num", ["affected"], "ranges")
+
+
+def p5_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and statements that give no rows, with the reason."""
+    boms = nesting.unreadable(_t(spark, d, "bom_documents"), "bom_num", "bom_json").select(F.lit("bom_documents").alias("src"), "*")
+    return boms.unionByName(nesting.unreadable(_t(spark, d, "attestations"), "att_num", "payload").select(F.lit("attestations").alias("src"), "*"))
+
+
 def p5_schema_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The inferred schema graph of the documents and which element types get a table."""
-    edges = nesting.infer_graph(_t(spark, d, "bom_documents"), "bom_json")
-    plan = nesting.shared_inlining(edges)
-    return spark.createDataFrame([(e.parent, e.child, e.repeated, e.child in plan.tables) for e in edges], "parent string, child string, repeated boolean, own_table boolean")
+    """The schema graph of the documents, which element types get a table, and whether the format declares the edge."""
+    edges = nesting.graph_of(_t(spark, d, "bom_documents"), "bom_json", nesting.BOM)
+    plan, known = nesting.shared_inlining(edges), {(e.parent, e.child) for e in nesting.BOM}
+    return spark.createDataFrame([(e.parent, e.child, e.repeated, e.child in plan.tables, (e.parent, e.child) in known) for e in edges], "parent string, child string, repeated boolean, own_table boolean, declared boolean")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -118,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_att_values": _p4_values("att"),
     "p5_found": p5_found,
     "p5_components": p5_components,
+    "p5_ranges": p5_ranges,
+    "p5_unreadable": p5_unreadable,
     "p5_schema_graph": p5_schema_graph,
 }
 

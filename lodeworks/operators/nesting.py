@@ -5,13 +5,16 @@ another.  Elements that are repeated, shared (reached from several parents) or r
 every other descendant is a singleton and is inlined into its nearest ancestor that is a table.  Each row carries its own
 path as key and the path of its parent row as foreign key.
 
-One pass over each document fills all tables (or only those asked for); rows are small and nothing is shuffled.  The graph
-of the public formats is given below; :func:`infer_graph` reads the graph of any other column from all of its documents.
-
-Defined results: a document that is null, empty or not one complete JSON object gives no rows; a lone object under a
-repeated key is an array of one; null elements keep their position and give no row; texts are decoded from base64 (either
-alphabet, any line breaks, padded or not) when they are not JSON themselves; the last of equal keys holds; documents that
-come again give their rows again under their own id.
+The graph is analysed before any row is made: :func:`infer_graph` reads it from all documents of a text column
+(:func:`schema_graph` from the type of a typed one).  What the public formats declare below is added to it, so an element
+that a format repeats is repeated even where these documents happen to hold it once.  Then one pass over each document fills
+all tables (or only those asked for); rows are small and nothing but the edges of the graph is shuffled.  Typed columns are
+taken apart by generated ``posexplode`` steps in the JVM.
+
+Defined results: a document that is null, empty or not one complete JSON object gives no rows (:func:`unreadable` lists
+them); any depth is read; a lone object under a repeated key is an array of one; null elements keep their position and give
+no row; numbers stay as written; texts are decoded from base64 (either alphabet, any line breaks, padded or not) when they
+are not JSON themselves; the last of equal keys holds; documents that come again give their rows again under their own id.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = ""
 
@@ -108,7 +112,85 @@ def _no_constant(_: str) -> None:
     raise ValueError("not JSON")
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant, strict=False)
+class Number(str):
+    """A number as it is written."""
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_float=Number, parse_int=Number, strict=False)
+_BLANK = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _deep(s: str) -> object:
+    """What the decoder gives, for documents nested deeper than it can go: one loop, no recursion."""
+    done: list = []
+    open_: list[list | dict] = []
+    keys: list[str] = []
+    at = _BLANK.match(s).end()
+
+    def char() -> str:
+        return s[at : at + 1]
+
+    def skip(n: int = 0) -> None:
+        nonlocal at
+        at = _BLANK.match(s, at + n).end()
+
+    def key() -> None:
+        nonlocal at
+        if char() != '"':
+            raise ValueError("a key is expected")
+        k, at = json.decoder.scanstring(s, at + 1, False)
+        skip()
+        if char() != ":":
+            raise ValueError("a colon is expected")
+        skip(1)
+        keys.append(k)
+
+    while True:
+        c = char()
+        if c == "{" or c == "[":
+            open_.append({} if c == "{" else [])
+            skip(1)
+            if char() != ("}" if c == "{" else "]"):
+                if c == "{":
+                    key()
+                continue
+            value: object = open_.pop()
+            skip(1)
+        elif c == '"':
+            value, at = json.decoder.scanstring(s, at + 1, False)
+            skip()
+        elif m := _ATOM.match(s, at):
+            value = _WORDS[m[0]] if m[0] in _WORDS else Number(m[0])
+            at = m.end()
+            skip()
+        else:
+            raise ValueError("a value is expected")
+        while open_:  # the value goes into its holder, which may be complete with it
+            holder = open_[-1]
+            if isinstance(holder, dict):
+                holder[keys.pop()] = value
+            else:
+                holder.append(value)
+            c = char()
+            if c == ",":
+                skip(1)
+                if isinstance(holder, dict):
+                    key()
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("a comma or an end is expected")
+            value = open_.pop()
+            skip(1)
+        else:
+            done.append(value)
+            break
+    if at != len(s):
+        raise ValueError("something follows the document")
+    return done[0]
+
+
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 
 
@@ -128,8 +210,11 @@ def document(text: str | None) -> dict | None:
         except (binascii.Error, ValueError):
             return None
     try:
-        out = _DECODER.decode(s)
-    except (ValueError, RecursionError):
+        try:
+            out = _DECODER.decode(s)
+        except RecursionError:
+            out = _deep(s)
+    except ValueError:
         return None
     return out if isinstance(out, dict) else None
 
@@ -184,6 +269,8 @@ def rows_of(doc: dict, plan: Inlining, only: frozenset[str] | None = None) -> It
         stack.extend(reversed(later))
 
 
+#: Characters of rows after which a batch is handed on.
+FLUSH_CHARS = 16 << 20
 SCHEMA = "rec_id long, table string, path string, parent_row string, parent_path string, pos int, columns map<string,string>"
 
 
@@ -203,6 +290,7 @@ def relations(df: DataFrame, id_col: str, text_col: str, edges: Iterable[Edge],
 
         for b in batches:
             cols: list[list] = [[] for _ in types]
+            size = 0
             for rec, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 doc = document(text)
                 if doc is None:
@@ -210,9 +298,10 @@ def relations(df: DataFrame, id_col: str, text_col: str, edges: Iterable[Edge],
                 for r in rows_of(doc, plan, wanted):
                     for c, v in zip(cols, (rec, r.table, r.path, r.parent_row, r.parent_path, r.pos, list(r.columns.items())), strict=True):
                         c.append(v)
-                if len(cols[0]) > 20_000:  # a batch of large documents must not become one huge batch of rows
-                    yield flush(cols)
-                    cols = [[] for _ in types]
+                    size += len(r.path) + len(r.parent_path) + sum(map(len, r.columns.values()))
+                    if len(cols[0]) > 20_000 or size > FLUSH_CHARS:  # large documents must not become one huge batch of rows
+                        yield flush(cols)
+                        cols, size = [[] for _ in types], 0
             yield flush(cols)
 
     return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("t")).where("t is not null").mapInArrow(run, SCHEMA)
@@ -244,6 +333,89 @@ def infer_graph(df: DataFrame, text_col: str, most: int = 10_000) -> list[Edge]:
     return [Edge(r.parent, r.child, r.repeated) for r in rows]
 
 
+def graph_of(df: DataFrame, text_col: str, declared: Iterable[Edge] = ()) -> list[Edge]:
+    """The graph of all documents together with what their format declares."""
+    merged: dict[tuple[str, str], bool] = {}
+    for e in (*infer_graph(df, text_col), *declared):
+        merged[e.parent, e.child] = merged.get((e.parent, e.child), False) or e.repeated
+    return [Edge(p, c, r) for (p, c), r in sorted(merged.items())]
+
+
+def unreadable(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(rec_id, reason)`` of documents without rows: ``null``, ``empty``, or ``broken`` (not one complete JSON object)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = [(i, "null" if t is None else "broken" if t.strip() else "empty") for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if document(t) is None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in bad], pa.int64()), pa.array([r for _, r in bad], pa.string())], names=["rec_id", "reason"])
+
+    return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "rec_id long, reason string")
+
+
+def schema_graph(kind: T.DataType, name: str = ROOT) -> list[Edge]:
+    """Edges of a column's type."""
+    out: list[Edge] = []
+    stack = [(name, kind)]
+    while stack:
+        at, k = stack.pop()
+        for f in k.fields if isinstance(k, T.StructType) else ():
+            child, repeated = f.dataType, False
+            while isinstance(child, T.ArrayType):
+                child, repeated = child.elementType, True
+            if repeated or isinstance(child, T.StructType):
+                out.append(Edge(at, f.name, repeated))
+            stack.append((f.name, child))
+    return out
+
+
+def typed_table(df: DataFrame, id_col: str, columns: list[str], table: str) -> DataFrame:
+    """The table of one element type of typed nested columns: links as in :func:`relations`, then its own and inlined fields.
+
+    Every place where the type's graph has the element gives a chain of ``posexplode`` steps; fields are texts.
+    """
+    root = T.StructType([df.schema[c] for c in columns])
+    plan = shared_inlining(schema_graph(root))
+    out: list[DataFrame] = []
+
+    def inlined(at: Column, k: T.StructType, prefix: str) -> list[Column]:
+        cols: list[Column] = []
+        for f in k.fields:
+            if isinstance(f.dataType, T.StructType):
+                if f.name not in plan.tables:
+                    cols += inlined(at[f.name], f.dataType, f"{prefix}{f.name}.")
+            elif not isinstance(f.dataType, (T.ArrayType, T.MapType)):
+                cols.append(at[f.name].cast("string").alias(f"c.{prefix}{f.name}"))
+        return cols
+
+    def walk(rows: DataFrame, at: Column, k: T.StructType, holder: Column, row: Column) -> None:
+        """``at`` is the object in ``rows``, ``holder`` its path, ``row`` the path of the table row it belongs to."""
+        for f in k.fields:
+            here = F.when(holder == "", F.lit(f.name)).otherwise(F.concat(holder, F.lit(f".{f.name}")))
+            if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+                child = f.dataType.elementType
+                x = rows.select("rec_id", here.alias("_here"), holder.alias("_holder"), row.alias("_row"), F.posexplode(at[f.name]).alias("_pos", "_x")).where("_x is not null")
+                path = F.concat("_here", F.lit("["), "_pos", F.lit("]"))
+            elif isinstance(f.dataType, T.StructType):
+                child = f.dataType
+                x = rows.select("rec_id", here.alias("_here"), holder.alias("_holder"), row.alias("_row"), F.lit(0).alias("_pos"), at[f.name].alias("_x")).where("_x is not null")
+                path = F.col("_here")
+            else:
+                continue
+            own = f.name in plan.tables
+            if f.name == table:
+                out.append(x.select("rec_id", path.alias("path"), F.col("_row").alias("parent_row"), F.col("_holder").alias("parent_path"), F.col("_pos").alias("pos"), *inlined(F.col("_x"), child, "")))
+            walk(x.withColumn("_path", path), F.col("_x"), child, F.col("_path"), F.col("_path") if own else F.col("_row"))
+
+    start = df.select(F.col(id_col).cast("long").alias("rec_id"), F.struct(*columns).alias("_x"), F.lit("").alias("_path"))
+    walk(start, F.col("_x"), root, F.col("_path"), F.col("_path"))
+    if not out:
+        raise ValueError(f"{table} is no element of {', '.join(columns)}")
+    both = out[0]
+    for o in out[1:]:
+        both = both.unionByName(o, allowMissingColumns=True)
+    return both.toDF(*[c.removeprefix("c.") + ("_" if c.startswith("c.") and c.removeprefix("c.") in ("rec_id", "path", "parent_row", "parent_path", "pos") else "") for c in both.columns])
+
+
 def table(rel: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """One table of :func:`relations` with the given columns; a column that clashes with a link gets a trailing underscore."""
     links = ["rec_id", "path", "parent_row", "parent_path", "pos"]

@@ -452,6 +452,11 @@ c AS (SELECT rec_id, path, v, regexp_extract(path, '^(.*?)\.?components\[\d+\]$'
 SELECT rec_id, path, CASE WHEN regexp_matches(parent_path, 'components\[\d+\]$') THEN parent_path ELSE '' END AS parent_row, parent_path, pos, json_extract_string(v, '$."bom-ref"') AS "bom-ref", json_extract_string(v, '$.type') AS type,
 json_extract_string(v, '$.group') AS "group", json_extract_string(v, '$.name') AS name, json_extract_string(v, '$.version') AS version, json_extract_string(v, '$.purl') AS purl FROM c"""
 ).replace("LONE", _LONE)
+ORACLES["p5_ranges"] = """SELECT adv_num AS rec_id, 'affected[' || (i - 1) || '].ranges[' || (m - 1) || ']' AS path, 'affected[' || (i - 1) || ']' AS parent_row, 'affected[' || (i - 1) || ']' AS parent_path, CAST(m - 1 AS INTEGER) AS pos, r.type AS type
+FROM (SELECT adv_num, i, unnest(a.ranges) AS r, generate_subscripts(a.ranges, 1) AS m FROM (SELECT adv_num, unnest(affected) AS a, generate_subscripts(affected, 1) AS i FROM advisories)) WHERE r IS NOT NULL"""
+ORACLES["p5_unreadable"] = _ATT + r""", b0 AS (SELECT bom_num, bom_json, regexp_replace(bom_json, '^[\s\x{feff}]+|\s+$', '', 'g') AS t FROM bom_documents)
+SELECT 'bom_documents' AS src, bom_num AS rec_id, CASE WHEN bom_json IS NULL THEN 'null' WHEN t = '' THEN 'empty' ELSE 'broken' END AS reason FROM b0 WHERE bom_json IS NULL OR NOT coalesce(json_valid(t) AND TRY(json_type(t)) = 'OBJECT', false)
+UNION ALL SELECT 'attestations', att_num, CASE WHEN payload IS NULL THEN 'null' WHEN trim(payload, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN 'empty' ELSE 'broken' END FROM attestations WHERE att_num NOT IN (SELECT att_num FROM d WHERE json_type(j) = 'OBJECT')"""
 ORACLES["p4_lifespans"] = """
 WITH l AS (SELECT feed, file_seq, line FROM feed_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
 e AS (SELECT feed, file_seq, k, json_extract(line, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(line)) AS k FROM l)),

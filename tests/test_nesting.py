@@ -83,3 +83,60 @@ def test_deep_and_large_documents(spark):
     wide = {"components": [{"hashes": [{"content": str(i)}]} for i in range(30_000)]}
     assert leaves(spark, [json.dumps(d)])[0][1].count("components") == 150
     assert len(leaves(spark, [json.dumps(wide)])) == 30_000
+
+
+def test_any_depth_and_broken_deep_documents(spark):
+    depth = 20_000
+    deep = '{"components":[' * depth + '{"hashes":[{"content":"x"}]}' + "]}" * depth
+    doc = n.document(deep)
+    assert doc is not None and n.document(deep[:-1]) is None and n.document(deep + "]") is None
+    rows = [r for r in n.rows_of(doc, n.shared_inlining(n.BOM), frozenset({"hashes"}))]
+    assert [r.columns for r in rows] == [{"content": "x"}] and rows[0].parent_path.count("components[0]") == depth
+    assert n.infer_graph(spark.createDataFrame([(deep,)], "t string"), "t") != []
+
+
+def test_the_loop_reads_what_the_decoder_reads():
+    good = ['{}', '[]', ' {"a" : [1, -2.50e3, true, false, null, "x\\u00e9\\n", {"b": {}}, [], [[1]]] , "c":"" } ', '{"a":1,"a":2}', "3", '"s"']
+    for t in good:
+        assert n._deep(t) == n._DECODER.decode(t.strip())
+    for t in ["", "{", '{"a"}', '{"a":}', "[1,]", "[1 2]", '{"a":1,}', "01", "nul", "[1]]", '{"a":1}{"b":2}', "-", '{1:2}', '["x]']:
+        for read in (n._deep, n._DECODER.decode):
+            try:
+                read(t)
+            except ValueError:
+                continue
+            raise AssertionError(t)
+
+
+def test_numbers_stay_as_written(spark):
+    df = spark.createDataFrame([(1, '{"components": [{"name": "a", "size": 1.50, "n": 12345678901234567890123, "e": 1E5, "b": true}]}')], "id long, t string")
+    row = n.relations(df, "id", "t", n.BOM, {"components"}).first()
+    assert row.columns == {"name": "a", "size": "1.50", "n": "12345678901234567890123", "e": "1E5", "b": "true"}
+
+
+def test_typed_columns_give_the_tables_of_their_json(spark):
+    kind = "id long, affected array<struct<package struct<name string>, ranges array<struct<type string, events array<struct<introduced string>>>>>>"
+    rows = [
+        (1, [{"package": {"name": "p"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0"}]}, None, {"type": None, "events": None}]}, None, {"package": None, "ranges": []}]),
+        (2, None), (3, []), (1, [{"package": None, "ranges": [{"type": "ECO", "events": []}]}]),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    edges = n.schema_graph(df.schema)
+    for name, column in (("ranges", "type"), ("affected", "package.name"), ("events", "introduced")):
+        typed = n.typed_table(df, "id", ["affected"], name).select("rec_id", "path", "parent_row", "parent_path", "pos", f"`{column}`")
+        rel = n.relations(df.selectExpr("id", "to_json(struct(affected)) AS t"), "id", "t", edges, {name})
+        assert sorted(map(tuple, typed.collect()), key=str) == sorted(map(tuple, n.table(rel, name, [column]).collect()), key=str)
+    assert n.typed_table(df.limit(0), "id", ["affected"], "ranges").count() == 0
+
+
+def test_the_graph_of_the_data_completes_the_declared_one(spark):
+    df = spark.createDataFrame([('{"vendorParts": [{"parts": {"hashes": {"content": "1"}}}], "components": {"name": "x"}}',)], "t string")
+    edges = n.graph_of(df, "t", n.BOM)
+    assert n.Edge("", "vendorParts", True) in edges and n.Edge("", "components", True) in edges
+    rel = n.relations(df.selectExpr("1 AS id", "t"), "id", "t", edges, {"hashes"})
+    assert rel.first().parent_path == "vendorParts[0].parts"
+
+
+def test_unreadable_documents_are_listed(spark):
+    df = spark.createDataFrame([(1, None), (2, " "), (3, "{"), (4, "{}"), (5, "[1]")], "id long, t string")
+    assert sorted(map(tuple, n.unreadable(df, "id", "t").collect())) == [(1, "null"), (2, "empty"), (3, "broken"), (5, "broken")]
