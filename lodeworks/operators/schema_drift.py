@@ -45,26 +45,21 @@ def json_object(line: Column) -> Column:
     becomes a second element.
     """
     text = F.btrim(line, F.lit(" \t\r\n"))
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(text.startswith("{") & text.endswith("}"), whole)
+    whole = F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
 
 
 def parsed(lines: DataFrame, producer: str, seq: str, line: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(producer, seq, *keep, v)`` of the lines that are not broken."""
-    w = lines.select(F.col(producer).alias("producer"), F.col(seq).cast("long").alias("seq"), *keep, json_object(F.col(line)).alias("w")).where("w is not null")
-    return w.where("try_variant_get(w, '$[1]', 'variant') is null").select("producer", "seq", *keep, F.expr("variant_get(w, '$[0]', 'variant')").alias("v"))
+    # A filter would be pushed below the parsing and parse again; it cannot pass the explode.
+    w = lines.select(F.col(producer).alias("producer"), F.col(seq).cast("long").alias("seq"), *keep, F.explode(F.array(json_object(F.col(line)))).alias("v"))
+    return w.where("v is not null")
 
 
-def _kind(shape: Column) -> Column:
-    """JSON type by the schema of a VARIANT; null for JSON null."""
-    return (
-        F.when(shape == "VOID", None)
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+def _kind(text: Column) -> Column:
+    """JSON type by the first character of a value's text; null for JSON null."""
+    c = F.substring(text, 1, 1)
+    return F.when(c == "n", None).when(c == '"', "string").when(c.isin("t", "f"), "boolean").when(c == "[", "array").when(c == "{", "object").otherwise("number")
 
 
 def entries(lines: DataFrame, producer: str = "feed", seq: str = "file_seq", line: str = "line", record_key: str = "ref") -> DataFrame:
@@ -73,11 +68,12 @@ def entries(lines: DataFrame, producer: str = "feed", seq: str = "file_seq", lin
     ``ref`` and ``h`` are hashes of record key and value, ``num`` the exact type of a number.
     """
     p = parsed(lines, producer, seq, line).where("producer is not null and seq is not null")
-    p = p.withColumn("ref", F.expr(f"xxhash64(try_variant_get(v, '$.{record_key}', 'string'))")).withColumn("ref", F.when(F.expr(f"try_variant_get(v, '$.{record_key}', 'string')").isNotNull(), F.col("ref")))
+    p = p.withColumn("ref", F.expr(f"try_variant_get(v, '$.{record_key}', 'string')"))
     e = p.lateralJoin(p.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    e = e.select("producer", "seq", "ref", F.col("key").alias("field"), "value", F.expr("schema_of_variant(value)").alias("shape"))
-    e = e.select("producer", "seq", "ref", "field", "value", "shape", _kind(F.col("shape")).alias("kind")).where("kind is not null")
-    return e.select("producer", "seq", "ref", "field", "kind", F.when(F.col("kind") == "number", F.col("shape")).alias("num"), F.when(F.col("ref").isNotNull(), F.xxhash64(F.to_json("value"))).alias("h"))
+    e = e.select("producer", "seq", "ref", F.col("key").alias("field"), "value").where("not is_variant_null(value)").withColumn("text", F.to_json("value"))
+    e = e.select("producer", "seq", "ref", "field", "value", "text", _kind(F.col("text")).alias("kind"))
+    hashed = lambda c: F.when(F.col("ref").isNotNull(), F.xxhash64(c))
+    return e.select("producer", "seq", hashed("ref").alias("ref"), "field", "kind", F.when(F.col("kind") == "number", F.expr("schema_of_variant(value)")).alias("num"), hashed("text").alias("h"))
 
 
 def files_of(lines: DataFrame, producer: str = "feed", seq: str = "file_seq") -> DataFrame:
