@@ -38,22 +38,22 @@ SAME_VALUES = 0.9
 MOST_ALIASES = 100_000
 
 
-def json_object(line: Column) -> Column:
-    """VARIANT of a line that is exactly one JSON object, else null.
+def wrapped(line: Column) -> Column:
+    """VARIANT of the array that holds what a line holds, null if that cannot be one JSON object.
 
     ``try_parse_json`` overlooks what follows a document; wrapped into an array, anything that follows breaks it or
     becomes a second element.
     """
     text = F.btrim(line, F.lit(" \t\r\n"))
-    whole = F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    return F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
+    return F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
 
 
 def parsed(lines: DataFrame, producer: str, seq: str, line: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(producer, seq, *keep, v)`` of the lines that are not broken."""
-    # A filter would be pushed below the parsing and parse again; it cannot pass the explode.
-    w = lines.select(F.col(producer).alias("producer"), F.col(seq).cast("long").alias("seq"), *keep, F.explode(F.array(json_object(F.col(line)))).alias("v"))
-    return w.where("v is not null")
+    # A filter on what is parsed would be pushed below the parsing and parse again; it cannot pass the explode.
+    w = lines.select(F.col(producer).alias("producer"), F.col(seq).cast("long").alias("seq"), *keep, F.explode(F.array(wrapped(F.col(line)))).alias("w"))
+    v = w.where("w is not null and try_variant_get(w, '$[1]', 'variant') is null")
+    return v.select("producer", "seq", *keep, F.expr("variant_get(w, '$[0]', 'variant')").alias("v"))
 
 
 def _kind(text: Column) -> Column:
