@@ -101,6 +101,71 @@ def test_blocks_cover_all_items(data):
     assert lk.blocks([]) == []
 
 
+def edited(rng, words, every, kind):
+    """The words with every ``every``-th changed, left out or doubled by another."""
+    out = []
+    for k, w in enumerate(words):
+        hit = k % every == every - 1
+        how = rng.choice(("changed", "missing", "added")) if kind == "mixed" else kind
+        if not hit:
+            out.append(w)
+        elif how == "changed":
+            out.append("zzz")
+        elif how == "added":
+            out += [w, "zzz"]
+    return out
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+@pytest.mark.parametrize("kind", ["changed", "missing", "added", "mixed"])
+def test_recall_of_edited_passages(data, every, kind):
+    """Whole items, and passages with half of the words left, with every third to fifth word edited: recall at least 0.9."""
+    rng = random.Random(every)
+    texts = [item(rng) for _ in range(60)]
+    rows = [(i, "s", t) for i, t in enumerate(texts)]
+    s = lk.Searcher(lk.own_texts(rows))
+    whole, part = 0, 0
+    for i, t in enumerate(texts):
+        words = t.replace(".", "").split()
+        n = len(words) if kind == "added" else int(len(words) * 0.5 * every / (every - 1)) + 2
+        n = int(len(words) * 0.55) if kind == "added" else min(n + 4, len(words))
+        at = rng.randint(0, len(words) - n)
+        whole += i in {x for x, _ in s.leaks(filler(rng, 5) + " " + " ".join(edited(rng, words, every, kind)) + " " + filler(rng, 5))}
+        part += i in {x for x, _ in s.leaks(filler(rng, 5) + " " + " ".join(edited(rng, words[at : at + n], every, kind)) + " " + filler(rng, 5))}
+    assert whole >= 0.9 * len(texts) and part >= 0.9 * len(texts)
+
+
+def test_items_of_shared_words(data):
+    """Items with one opening, and items made of shared sentences only, are found by what they hold, each by its own share."""
+    rng = random.Random(5)
+    opening = item(rng, 4)
+    texts = [opening + " " + item(rng, 3) for _ in range(6)]
+    pool = [item(rng, 1) for _ in range(12)]
+    mixed = [" ".join(rng.sample(pool, 8)) for _ in range(8)]
+    rows = [(i, "s", t) for i, t in enumerate([*texts, *mixed])]
+    for i, t in enumerate([*texts, *mixed]):
+        assert i in found(rows, filler(rng) + " " + t + " " + filler(rng))
+    # The opening is more than half of each of the six.
+    assert [i for i in found(rows, filler(rng) + opening) if i < 6] == list(range(6))
+    # One sentence of it is not.
+    assert found(rows, filler(rng) + sentences(opening)[0]) == []
+    items = lk.own_texts(rows)
+    docs = [*texts, *mixed, opening, filler(rng) + opening]
+    common = lk.boilerplate(items)
+    one = {(d, i) for d, i, _ in lk.Searcher(items, common=common).search(docs)}
+    each = {(d, i) for b in lk.blocks(items, 1) for d, i, _ in lk.Searcher(list(b), common=common).search(docs)}
+    assert one == each
+
+
+def test_short_items_and_many_repeats(data):
+    rows = [(0, "s", "Alpha."), (1, "s", "Beta gamma."), (2, "s", "One two three four five six."), (3, "s", "la la la la la la la la la la la la.")]
+    assert found(rows, "say alpha now") == [0] and found(rows, "beta, GAMMA") == [1] and found(rows, "gamma beta") == []
+    assert found(rows, "zero one two three four") == [2]
+    assert found(rows, "la " * 3000) == [3]
+    long = item(random.Random(3))
+    assert found([(0, "s", long)], (long + " ") * 300) == [0]
+
+
 def test_spark(spark, data):
     rng, texts, rows = data
     ev = spark.createDataFrame([*rows, (90, "s", None), (91, None, ""), (92, "s", " \n\n "), (93, "s", texts[2])], "item_id long, suite string, text string")
