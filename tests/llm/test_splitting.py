@@ -97,3 +97,29 @@ def test_very_long_text(spark):
     df = frame(spark, ["Some words stand here. " * 60_000])
     rows = sp.split_oversized(df).agg(F.max("tokens").alias("m"), F.count("*").alias("n"), F.max("forced").alias("f")).first()
     assert rows.m <= 512 and rows.n > 600 and rows.f is False
+
+
+@pytest.mark.parametrize("limit", [512, 2048, 8192, 32768])
+def test_limits_do_not_grow_the_stack(spark, limit):
+    n = 3 * limit
+    df = frame(spark, ["w " * n, "One two three. " * (n // 4), "a b c\n\n" * (n // 3), "x " * (limit // 2) + "\n" + "y " * n])
+    overlap = limit // 8
+    rows = sp.split_oversized(df, limit=limit, overlap=overlap).collect()
+    for i in range(4):
+        ps = sorted((r for r in rows if r.id == i), key=lambda r: r.piece)
+        assert all(p.tokens <= limit for p in ps) and sum(p.tokens for p in ps) == count(df.where(f"doc_id = {i}").first().text) + overlap * (len(ps) - 1)
+        assert any(p.forced for p in ps) == (i in (0, 3))
+    assert {r.doc_id: r.cut for r in sp.cut_kind(df, limit=limit, overlap=overlap).collect()} == {0: "forced", 1: "natural", 2: "natural", 3: "forced"}
+
+
+def test_a_stretch_that_only_the_overlap_leaves_no_room_for(spark):
+    df = frame(spark, ["a " * 60 + "\n" + "b " * 58 + "\n" + "c " * 30])
+    assert [r.cut for r in sp.cut_kind(df, limit=64, overlap=16).collect()] == ["natural"]
+    assert any(r.forced for r in sp.split_oversized(df, limit=64, overlap=16).collect())
+
+
+def test_many_pieces_and_short_ones(spark):
+    df = frame(spark, ["a.\n\n" * 4000])
+    rows = sorted(sp.split_oversized(df, limit=10, overlap=9).collect(), key=lambda r: r.piece)
+    assert len(rows) > sp.GROUP and all(count(r.piece_text) == r.tokens <= 10 for r in rows)
+    assert all(count(r.piece_text[: r.overlap_chars]) == 9 for r in rows[1:])
