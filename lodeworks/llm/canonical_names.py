@@ -6,7 +6,8 @@ longer end within the distance allowed for the query's length; all entries insid
 
 A writing carries three kinds of information and only the first is allowed to be misspelt:
 
-* words (``quartzite community license``), searched in the trie;
+* words (``quartzite community license``), searched in the trie; a table of word aliases says which words are other writings
+  of one (``lic``, ``licence``) and which say nothing (an empty alias);
 * the version number, compared exactly after ``2`` became ``2.0``;
 * the variant (``or later``, noncommercial), compared exactly.
 
@@ -22,6 +23,7 @@ Defined results
 * several entries at the same distance: resolved by version and variant; if more than one entry still fits, ``NONE``
   (ambiguous), never an arbitrary pick;
 * an empty reference list: every non-null value is ``NONE``;
+* an address of any length stands for the name at the end of its path;
 * repeated rows: each keeps its own result row; extra columns pass through untouched, one that has the name of the result
   column with a trailing underscore.
 """
@@ -31,34 +33,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import OrderedDict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NONE = "NONE"
 
-#: Words that say nothing about which entry is meant.
-FILLER = frozenset("a an the see under license licence licensed approved released version ver v txt md html htm".split())
-#: Spellings of one word of a licence name.
-SYNONYMS = {
-    "licence": "license",
-    "licens": "license",
-    "lic": "license",
-    "licenses": "license",
-    "pub": "public",
-    "perm": "permissive",
-    "comm": "community",
-    "doc": "documentation",
-    "docs": "documentation",
-    "lib": "library",
-    "src": "source",
-}
-
-_URL = re.compile(r"^\s*(?:https?://)?[\w.-]+\.[a-z]{2,}/(?:.*/)?([^/\s]+?)(?:\.(?:html?|txt|md))?$", re.I)
-_LONGEST_URL = 2048
+_HOST = re.compile(r"[\w.-]+\.[a-z]{2,}", re.I)
+_SCHEME = re.compile(r"https?://", re.I)
+_EXTENSION = re.compile(r"\.(?:html?|txt|md)$", re.I)
 _LATER = re.compile(r"(?:\bor|(?<=\d)or|-or)[\s_-]*(?:any[\s_-]*)?later(?:[\s_-]*version)?\b|(?<=\d)\s*\)?\s*\+")
 _NONCOM = re.compile(r"\bnon[\s_-]*commercial\b")
 _PAREN_REF = re.compile(r"\(([^()]*)\)\W*$")
@@ -86,11 +72,20 @@ def whole_version(v: str) -> str:
     return ".".join(parts if len(parts) > 1 else [*parts, "0"])
 
 
-def parse(value: str) -> Parsed:
-    """Split a writing into words, version and variant."""
-    s = fold(value)
-    if len(s) <= _LONGEST_URL and (m := _URL.match(s.strip(" \t\r\n\xa0;.,*/"))):
-        s = m.group(1)
+def last_of_address(s: str) -> str:
+    """The name at the end of a web address without its file extension; any other text as it is."""
+    bare = s.strip(" \t\r\n\xa0;.,*/")
+    bare = bare[m.end() :] if (m := _SCHEME.match(bare)) else bare
+    host, slash, path = bare.partition("/")
+    name = path.rsplit("/", 1)[-1]
+    if not slash or not name or "\n" in path or any(c.isspace() for c in name) or not _HOST.fullmatch(host):
+        return s
+    return _EXTENSION.sub("", name) or name
+
+
+def parse(value: str, aliases: Mapping[str, str] = {}) -> Parsed:  # noqa: B006 - never written to
+    """Split a writing into words, version and variant; ``aliases`` are other writings of words, empty for words that say nothing."""
+    s = last_of_address(fold(value))
     later = bool(_LATER.search(s))
     s = _LATER.sub(" ", s)
     noncommercial = bool(_NONCOM.search(s))
@@ -98,12 +93,12 @@ def parse(value: str) -> Parsed:
     versions = frozenset(whole_version(v) for v in _VERSION.findall(s))
     words = []
     for w in _WORD.findall(s):
-        w = SYNONYMS.get(w, w)
+        w = aliases.get(w, w)
         if w == "nc":
             noncommercial = True
         elif w == "orlater":
             later = True
-        elif w not in FILLER:
+        elif w:
             words.append(w)
     return Parsed(tuple(words), versions, later, noncommercial)
 
@@ -187,7 +182,8 @@ class LevenshteinAutomaton:
 class NameMatcher:
     """Maps writings to entries of a reference list of ``(ref, full_name)`` pairs."""
 
-    def __init__(self, entries: Iterable[tuple[str, str | None]], cache: int = 200_000):
+    def __init__(self, entries: Iterable[tuple[str, str | None]], aliases: Iterable[tuple[str, str]] = (), cache: int = 200_000):
+        self.aliases = dict(aliases)
         self.refs: list[str] = []
         self.parsed: list[list[Parsed]] = []
         self.trie = Trie()
@@ -197,7 +193,7 @@ class NameMatcher:
         self.near: dict[str, dict[int, int]] = {}
         rows = sorted({(r, f or "") for r, f in entries if r})
         for ref, full in rows:
-            forms = [parse(ref), *([parse(full)] if full else [])]
+            forms = [self.parse(ref), *([self.parse(full)] if full else [])]
             self.refs.append(ref)
             self.parsed.append(forms)
         heads = [forms[0].words[:1] for forms in self.parsed]
@@ -209,6 +205,9 @@ class NameMatcher:
             for path in self._aliases(forms):
                 self.trie.add(path, i)
 
+    def parse(self, value: str) -> Parsed:
+        return parse(value, self.aliases)
+
     def _aliases(self, forms: list[Parsed]) -> set[str]:
         """Paths under which an entry may be written: its words joined, any order of head and kind, the head alone."""
         out = set()
@@ -226,8 +225,7 @@ class NameMatcher:
 
     def search(self, value: str) -> dict[str, int]:
         """All entries whose alias paths lie within the distance allowed for the writing, before version and variant."""
-        p = parse(value)
-        return {self.refs[i]: d for i, d in self._search(p).items()}
+        return {self.refs[i]: d for i, d in self._search(self.parse(value)).items()}
 
     def _near(self, q: str) -> dict[int, int]:
         """Trie search with a bounded memory: many writings share a word."""
@@ -260,7 +258,7 @@ class NameMatcher:
         return out
 
     def _resolve(self, value: str) -> str:
-        p = parse(value)
+        p = self.parse(value)
         found = self._search(p)
         if not found:
             return NONE
@@ -286,35 +284,58 @@ class NameMatcher:
 _MATCHERS: dict[tuple, NameMatcher] = {}
 
 
-def _matcher(entries: tuple[tuple[str, str], ...]) -> NameMatcher:
+def _matcher(entries: tuple[tuple[str, str], ...], aliases: tuple[tuple[str, str], ...]) -> NameMatcher:
     """One matcher per worker process and list."""
-    if entries not in _MATCHERS:
+    key = (entries, aliases)
+    if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[entries] = NameMatcher(entries)
-    return _MATCHERS[entries]
+        _MATCHERS[key] = NameMatcher(entries, aliases)
+    return _MATCHERS[key]
 
 
-def reference_entries(reference: DataFrame, ref: str, full_name: str, max_entries: int = 100_000) -> tuple[tuple[str, str], ...]:
-    """The reference list on the driver; refused above ``max_entries``, the proven bound of what is shipped."""
-    rows = reference.select(F.col(ref).alias("r"), F.col(full_name).alias("f")).where("r is not null").distinct().limit(max_entries + 1).collect()
+def reference_entries(df: DataFrame, a: str, b: str, max_entries: int = 100_000) -> tuple[tuple[str, str], ...]:
+    """Two columns of a small table on the driver; refused above ``max_entries`` rows, the proven bound of what is shipped."""
+    rows = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null").distinct().limit(max_entries + 1).collect()
     if len(rows) > max_entries:
-        raise ValueError(f"the reference list has more than {max_entries} entries")
-    return tuple(sorted((r.r, r.f or "") for r in rows))
+        raise ValueError(f"the list has more than {max_entries} entries")
+    return tuple(sorted((r.a, r.b or "") for r in rows))
+
+
+MATCH = T.StructType([T.StructField("ref", T.StringType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("distance", T.IntegerType())])))])
 
 
-def map_names(df: DataFrame, value: str, reference: DataFrame, ref: str = "license_ref", full_name: str = "full_name", out: str = "license_ref") -> DataFrame:
-    """``df`` with the column ``out``: the entry that ``value`` means, ``NONE``, or null for a null value."""
-    entries = reference_entries(reference, ref, full_name)
+def match(value: Column, reference: DataFrame, ref: str, full_name: str, aliases: DataFrame | None = None, near: bool = False, max_entries: int = 100_000) -> Column:
+    """Struct of ``ref``, the entry meant (or ``NONE``, or null for null), and ``near``: all entries within the distance, nearest first."""
+    entries = reference_entries(reference, ref, full_name, max_entries)
+    words = reference_entries(aliases, *aliases.columns[:2], max_entries) if aliases is not None else ()
 
-    @F.pandas_udf(T.StringType())
-    def resolved(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = _matcher(entries)
+    @F.pandas_udf(MATCH)
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = _matcher(entries, words)
         for s in batches:
-            yield pd.Series([None if v is None else m.resolve(v) for v in s], dtype=object)
+            refs = [None if v is None else m.resolve(v) for v in s]
+            close = [None if v is None or not near else [{"ref": r, "distance": d} for r, d in sorted(m.search(v).items(), key=lambda x: (x[1], x[0]))] for v in s]
+            yield pd.DataFrame({"ref": pd.Series(refs, dtype=object), "near": pd.Series(close, dtype=object)})
+
+    return matched(value)
+
+
+def map_names(df: DataFrame, value: str, reference: DataFrame, ref: str = "license_ref", full_name: str = "full_name", out: str = "license_ref", aliases: DataFrame | None = None) -> DataFrame:
+    """``df`` with the column ``out``: the entry that ``value`` means, ``NONE``, or null for a null value.
+
+    ``aliases`` has two columns: a word, and the word it stands for (empty for words that say nothing).
+    """
+    return df.select(*[F.col(c).alias(f"{c}_" if c == out else c) for c in df.columns], match(F.col(value), reference, ref, full_name, aliases)["ref"].alias(out))
+
 
-    return df.select(*[F.col(c).alias(f"{c}_" if c == out else c) for c in df.columns], resolved(F.col(value)).alias(out))
+def unmatched(df: DataFrame, value: str, reference: DataFrame, ref: str = "license_ref", full_name: str = "full_name", aliases: DataFrame | None = None) -> DataFrame:
+    """``(value, n_rows, near)``: the values that mean no entry, each searched once, with all entries within their distance."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n_rows"))
+    found = counts.withColumn("m", match(F.col("value"), reference, ref, full_name, aliases, near=True))
+    return found.where(F.col("m.ref") == NONE).select("value", "n_rows", F.col("m.near").alias("near"))
 
 
-def is_written_exactly(value: str, reference: tuple[tuple[str, str], ...]):
-    """Column: the value is, character by character, a reference or a full name."""
-    return F.col(value).isin([x for pair in reference for x in pair if x])
+def not_written_exactly(df: DataFrame, value: str, reference: DataFrame, ref: str = "license_ref", full_name: str = "full_name") -> DataFrame:
+    """Rows whose value is not, character by character, a reference or a full name: an equi-join, whatever the list's length."""
+    listed = reference.select(F.explode(F.array(ref, full_name)).alias(value)).where(F.col(value).isNotNull()).distinct()
+    return df.join(listed, value, "left_anti")

@@ -39,7 +39,7 @@ def words(text: str) -> str:
     """The words of a text: unbroken runs of letters and digits, ``%XX`` decoded, in one letter case."""
     if "%" in text:
         text = unquote(text)
-    return " ".join(_WORDS.findall(text.casefold()))
+    return " ".join(_WORDS.findall(text.lower()))
 
 
 def number(field: str, canonical: str) -> int:
@@ -98,10 +98,14 @@ def _encoder(fields: list[str], with_pairs: frozenset[str]):
                 first = np.fromiter((c[0] for c in codes), np.uint64, len(codes))
                 flat[at] = first[idx]
                 at += 1
-                for extra in np.flatnonzero(lens[idx] > 1):  # pairs are the exception
-                    c = codes[idx[extra]]
-                    flat[at[extra] : at[extra] + len(c) - 1] = c[1:]
-                    at[extra] += len(c) - 1
+                most = int(lens.max(initial=1))
+                if most > 1:  # values with pairs: one column of the padded codes at a time, for all rows that have it
+                    table = np.zeros((len(codes), most), np.uint64)
+                    table[np.arange(most) < lens[:, None]] = np.fromiter((x for c in codes for x in c), np.uint64)
+                    for k in range(1, most):
+                        rows = np.flatnonzero(lens[idx] > k)
+                        flat[at[rows]] = table[idx[rows], k]
+                        at[rows] += 1
             for w in np.unique(width):  # sort the tuples of one width at once
                 rows = np.flatnonzero(width == w)
                 where = offsets[rows][:, None] + np.arange(w)

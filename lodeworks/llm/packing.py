@@ -151,3 +151,19 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
         .select("id", "piece", "n_pieces", F.lit(capacity).cast("long").alias("tokens"), F.concat_ws("-", F.lit("d"), "id", "no", "piece").alias("container_id"))
     )
     return shared.unionByName(alone)
+
+
+def divided(packed: DataFrame) -> DataFrame:
+    """``(id, containers)`` of items whose pieces lie in more than one container."""
+    return packed.where("n_pieces > 1").groupBy("id").agg(F.count_distinct("container_id").alias("containers")).where("containers > 1")
+
+
+def container_use(packed: DataFrame) -> DataFrame:
+    """``(container_id, used, pieces)``."""
+    return packed.groupBy("container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("pieces"))
+
+
+def fill(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: containers, the least number that the tokens need, the mean share filled, and the emptiest and fullest container."""
+    u = container_use(packed)
+    return u.agg(F.count("*").alias("containers"), F.ceil(F.sum("used") / capacity).alias("least"), F.round(F.sum("used") / (F.count("*") * capacity), 6).alias("share"), F.min("used").alias("emptiest"), F.max("used").alias("fullest"))

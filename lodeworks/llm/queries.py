@@ -21,17 +21,28 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "bom_licenses").select("lic_row_id", F.coalesce("license_id", "license_name").alias("value")).where("value is not null")
 
 
+#: Other writings of words of licence names; an empty one says nothing about which licence is meant.
+LICENSE_WORDS = {
+    "licence": "license", "licens": "license", "lic": "license", "licenses": "license", "pub": "public", "perm": "permissive",
+    "comm": "community", "doc": "documentation", "docs": "documentation", "lib": "library", "src": "source",
+}
+NO_LICENSE_WORDS = "a an the see under license licence licens lic licenses licensed approved released version ver v txt md html htm".split()
+
+
+def _license_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*((w, m) for w, m in LICENSE_WORDS.items() if w not in NO_LICENSE_WORDS), *((w, "") for w in NO_LICENSE_WORDS)], "word string, means string")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that are no entry as they stand, with the entry meant or NONE."""
     listed = _t(spark, d, "license_list")
-    exact = canonical_names.is_written_exactly("value", canonical_names.reference_entries(listed, "license_ref", "full_name"))
-    return canonical_names.map_names(_filled(spark, d).where(~exact), "value", listed).select("lic_row_id", "license_ref")
+    rows = canonical_names.not_written_exactly(_filled(spark, d), "value", listed)
+    return canonical_names.map_names(rows, "value", listed, aliases=_license_words(spark)).select("lic_row_id", "license_ref")
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """Report: values that are not on the list, with the number of their rows."""
-    mapped = canonical_names.map_names(_filled(spark, d), "value", _t(spark, d, "license_list"))
-    return mapped.where(F.col("license_ref") == canonical_names.NONE).groupBy("value").agg(F.count("*").alias("n_rows"))
+    """Report: values that are not on the list, with the number of their rows and the entries near them."""
+    return canonical_names.unmatched(_filled(spark, d), "value", _t(spark, d, "license_list"), aliases=_license_words(spark))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +62,22 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents the packing had to divide."""
-    return p6_packed(spark, d).where("n_pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+    """Documents the packing had to divide: their pieces lie in more than one container."""
+    return packing.divided(p6_packed(spark, d)).select(F.col("id").alias("doc_id"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled: one row."""
+    return packing.fill(p6_packed(spark, d), CAPACITY)
+
+
+def p6_conserved(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing must keep: documents and tokens placed, containers above the capacity, undivided documents cut."""
+    p = p6_packed(spark, d)
+    over = packing.container_use(p).where(F.col("used") > CAPACITY).agg(F.count("*").alias("over_full"))
+    docs = p.groupBy("id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.first("n_pieces").alias("pieces"))
+    sums = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") != F.col("pieces"), 1)).alias("incomplete"), F.count(F.when((F.col("n") > 1) & (F.col("t") <= CAPACITY), 1)).alias("needlessly_divided"))
+    return sums.crossJoin(over)  # one row each
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +92,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Oversized documents and whether a cut had to be forced."""
-    return splitting.cut_kind(_t(spark, d, "documents"), limit=LIMIT).select("doc_id", "cut")
+    return splitting.cut_kind(_t(spark, d, "documents"), limit=LIMIT, overlap=OVERLAP).select("doc_id", "cut")
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +101,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_collapsed, p6_found, p6_packed, p7_found, p7_leaks, p8_found, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_collapsed, p6_found, p6_packed, p6_fill, p6_conserved, p7_found, p7_leaks, p8_found, p8_pieces)
 }
 
 # Plain SQL for the problems that whole-table SQL can express.
@@ -90,6 +115,7 @@ ORACLES: dict[str, str] = {
     "p3_found": _SETS + " SELECT k AS keep_row_id, row_id AS copy_row_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY g, n, b, p) AS k FROM y) WHERE row_id <> k",
     "p3_collapsed": _SETS + " SELECT min(row_id) AS keep_id, count(*) AS n_copies FROM y GROUP BY g, n, b, p",
     "p6_found": f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_TOK}')) > 2048",
+    "p6_conserved": f"SELECT count(*) AS documents, coalesce(sum(coalesce(len(regexp_extract_all(text, '{_TOK}')), 0)), 0) AS tokens, 0 AS incomplete, 0 AS needlessly_divided, 0 AS over_full FROM documents",
     "p8_found": f"""WITH t AS (SELECT doc_id, text FROM documents WHERE len(regexp_extract_all(text, '{_TOK}')) > 512),
 s AS (SELECT doc_id, list_max(list_transform(string_split(regexp_replace(text, '([.!?])[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '\\1' || chr(10), 'g'), chr(10)), lambda x: len(regexp_extract_all(x, '{_TOK}')))) AS m FROM t)
 SELECT doc_id, CASE WHEN m > 512 THEN 'forced' ELSE 'natural' END AS cut FROM s""",

@@ -5,6 +5,9 @@ import random
 import pytest
 
 from lodeworks.llm import canonical_names as cn
+from lodeworks.llm.queries import LICENSE_WORDS, NO_LICENSE_WORDS
+
+WORDS = [*LICENSE_WORDS.items(), *((w, "") for w in NO_LICENSE_WORDS)]
 
 LIST = [
     ("Quartzite-1.1", "Quartzite Community License 1.1"),
@@ -69,11 +72,11 @@ def test_search_finds_what_brute_force_finds():
     ],
 )
 def test_cases(value, ref):
-    assert cn.NameMatcher(LIST).resolve(value) == ref
+    assert cn.NameMatcher(LIST, WORDS).resolve(value) == ref
 
 
 def test_every_entry_means_itself():
-    m = cn.NameMatcher(LIST)
+    m = cn.NameMatcher(LIST, WORDS)
     assert all(m.resolve(r) == r and m.resolve(f) == r for r, f in LIST)
 
 
@@ -93,3 +96,22 @@ def test_spark_nulls_repeats_empty_and_clashing_columns(spark):
     assert {r.license_ref for r in cn.map_names(df, "v", ref.limit(0)).collect()} == {"NONE", None}
     with pytest.raises(ValueError):
         cn.reference_entries(ref, "license_ref", "full_name", max_entries=3)
+
+
+@pytest.mark.parametrize("length", [1, 100, 5_000, 200_000])
+def test_addresses_of_any_length(length):
+    m = cn.NameMatcher(LIST, WORDS)
+    path = "x/" * length
+    assert m.resolve(f"https://licenses.example/{path}quartzite-1.1.html") == "Quartzite-1.1"
+    assert m.resolve(f"licenses.example/{path}quartzite-1.1/") == "Quartzite-1.1"
+    assert m.resolve("a." * length + "b") == "NONE"
+
+
+def test_unmatched_values_come_with_the_entries_near_them(spark):
+    ref = spark.createDataFrame(LIST, "license_ref string, full_name string")
+    df = spark.createDataFrame([("Driftwater 9",), ("Driftwater 9",), ("nope",), (None,), ("quartzite 1.1",)], "v string")
+    got = {r.value: (r.n_rows, [(x.ref, x.distance) for x in r.near]) for r in cn.unmatched(df, "v", ref).collect()}
+    assert set(got) == {"Driftwater 9", "nope"} and got["nope"] == (1, [])
+    assert got["Driftwater 9"] == (2, [("Driftwater-NC-3.0", 0), ("Driftwater-PL-2.0", 0), ("Driftwater-PL-2.0-or-later", 0)])
+    left = cn.not_written_exactly(spark.createDataFrame([(1, LIST[0][0]), (2, LIST[0][1]), (3, LIST[0][0].lower())], "id long, v string"), "v", ref.union(ref.selectExpr("null", "null")))
+    assert [r.id for r in left.collect()] == [3]

@@ -64,3 +64,11 @@ def test_nulls_empty_long_and_repeated(spark):
 def test_one_group_holds_most_rows(spark):
     df = spark.range(20_000).selectExpr("id row_id", "case when id % 3 = 0 then 'hot' else concat('g', id) end g", "'n' n", "null p", "'a' key", "'b' id")
     assert fd.copies(df, "row_id", F3, {"p"}).count() == 6666
+
+
+def test_letter_case_is_lower_case_and_pairs_are_sorted(spark):
+    assert fd.words("Straße") != fd.words("STRASSE") and fd.words("ÀB") == fd.words("àb")
+    rows = [(i, f"n?{'&'.join(rng)}") for i, rng in enumerate([["a=1", "b=2", "c=3"], ["c=3", "a=1", "b=2"], ["a=1", "b=2"], ["b=2", "a=1", "c=4"], ["a=1"] * 2])]
+    df = spark.createDataFrame(rows, "id long, p string")
+    assert sorted(map(tuple, fd.copies(df, "id", ["p"], {"p"}).collect())) == [(0, 1)]
+    assert fd.collapse(df, "id", ["p"], {"p"}).count() == 4

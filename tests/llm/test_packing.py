@@ -78,3 +78,13 @@ def test_a_shared_length_is_ranked_in_buckets(spark, monkeypatch):
     rows = pack(spark, [(i, "w w w") for i in range(1000)])
     load = Counter(r["container_id"] for r in rows)
     assert len(rows) == 1000 and max(load.values()) == 3 and len(load) == 334
+
+
+def test_divided_items_and_fill(spark):
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate([10, 11, 20, 25, 3, 7, 0])], "doc_id long, text string")
+    packed = pk.pack(df, capacity=10)
+    assert sorted(r.id for r in pk.divided(packed).collect()) == [1, 2, 3]
+    f = pk.fill(packed, 10).first()
+    assert f.containers >= f.least == 8 and f.fullest == 10 and f.share == round(76 / (f.containers * 10), 6)
+    plan = pk.divided(packed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "container(" in plan  # the rows come from placed pieces
