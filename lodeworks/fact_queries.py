@@ -53,7 +53,7 @@ SELECT id AS component_id, purl, 'vcs-and-build' AS policy, id IN (SELECT compon
 def policy_component_verdicts(f: Facts) -> DataFrame:
     sat, targets = _vcs_and_build(f)
     v = policy.evaluate(sat, targets, policy.applied_analyses(f.analysis, f.spark.createDataFrame([], "analysis_id long")), f.component)
-    return v.satisfies.withColumn("satisfied", F.lit(True)).unionByName(v.violates.withColumn("satisfied", F.lit(False)))
+    return v.judged
 
 
 @query("policy_passed_failed", """+ p AS (SELECT DISTINCT component_id, check_id, passed FROM check_result WHERE component_id IN (SELECT id FROM component))
@@ -63,7 +63,7 @@ def policy_passed_failed(f: Facts) -> DataFrame:
     targets = f.check_result.select(name, "component_id")
     sat = f.check_result.where("passed = 1").select(name, "component_id")
     v = policy.evaluate(sat, targets, policy.applied_analyses(f.analysis, f.spark.createDataFrame([], "analysis_id long")), f.component)
-    return v.passed.withColumn("passed", F.lit(True)).unionByName(v.failed.withColumn("passed", F.lit(False)))
+    return v.policies
 
 
 @query("policy_restrict_analysis", _SAT + """
@@ -72,7 +72,7 @@ def policy_restrict_analysis(f: Facts) -> DataFrame:
     sat, targets = _vcs_and_build(f)
     only = f.spark.createDataFrame([(3,), (7,), (11,)], "analysis_id long")
     v = policy.evaluate(sat, targets, policy.applied_analyses(f.analysis, only), f.component)
-    return v.satisfies.withColumn("satisfied", F.lit(True)).unionByName(v.violates.withColumn("satisfied", F.lit(False))).select("component_id", "purl", "satisfied")
+    return v.judged.select("component_id", "purl", "satisfied")
 
 
 @query("policy_exception_list", """SELECT c.id AS component_id, c.purl FROM component c
@@ -362,12 +362,48 @@ def _engine(f: Facts) -> datalog.Engine:
 @query("rules_policy_verdicts", _SAT + """
 SELECT id AS component, purl, 'p1' AS policy FROM component WHERE id IN (SELECT component_id FROM sat) AND regexp_full_match(purl, 'pkg:(small|medium).*')""")
 def rules_policy_verdicts(f: Facts) -> DataFrame:
-    text = datalog.PRELUDE + """
+    text = """
     #define WANTED "pkg:(small|medium).*"
     Policy("p1", c, "built") :- check_passed(c, "mcn_version_control_system_1"), check_passed(c, "mcn_build_service_1").
     apply_policy_to("p1", c) :- component(c, purl, _), match(WANTED, purl).
     """
-    return _engine(f).run(text)["component_satisfies_policy"]
+    return datalog.run_policies(_engine(f), text)["component_satisfies_policy"]
+
+
+@query("rules_restricted_analysis", _SAT + """
+SELECT id AS component, purl, 'p1' AS policy FROM component WHERE analysis_id IN (3, 7, 11) AND id NOT IN (SELECT component_id FROM sat)""")
+def rules_restricted_analysis(f: Facts) -> DataFrame:
+    text = """
+    restrict_to_analysis(a) :- analysis(a, _), listed(a).
+    .decl listed(a: number)
+    listed(3). listed(7). listed(11).
+    Policy("p1", c, "built") :- check_passed(c, "mcn_version_control_system_1"), check_passed(c, "mcn_build_service_1").
+    apply_policy_to("p1", c) :- component(c, _, a), apply_to_analysis(a).
+    """
+    return datalog.run_policies(_engine(f), text)["component_violates_policy"]
+
+
+@query("rules_subsumption_min", CLOSURE + """ SELECT parent AS component, min(f.confidence) AS least FROM closure c JOIN check_facts f ON f.component_id = c.child GROUP BY 1""")
+def rules_subsumption_min(f: Facts) -> DataFrame:
+    text = """
+    .decl least(component: number, least: float)
+    least(p, f) :- transitive_dependency(p, c), check_facts(_, f, c, _).
+    least(c, a) <= least(c, b) :- b <= a.
+    .output least
+    """
+    return datalog.run_policies(_engine(f), text)["least"]
+
+
+@query("rules_unrelated_atoms", """+ v AS (SELECT DISTINCT component_id FROM check_result WHERE passed = 1 AND check_id = 'mcn_build_service_1') SELECT r.r_name AS region, v.component_id AS component FROM region r, v WHERE v.component_id <= 40""")
+def rules_unrelated_atoms(f: Facts) -> DataFrame:
+    e = _engine(f)
+    e.relations["region"] = datalog.Engine._positional(f.table("region").select("r_name"))
+    text = """
+    .decl both(region: symbol, component: number)
+    both(r, c) :- region(r), check_passed(c, "mcn_build_service_1"), c <= 40.
+    .output both
+    """
+    return datalog.run_policies(e, text)["both"]
 
 
 @query("rules_exception_and_closure", CLOSURE + """ SELECT DISTINCT c.parent AS component FROM closure c JOIN component p ON p.id = c.parent
@@ -448,15 +484,11 @@ def first_run_per_release(f: Facts) -> DataFrame:
     return relational.first_per_group(m, ["package", "seq"], [F.col("started_at").desc(), F.col("run_id")]).select("package", "seq", "run_id")
 
 
-_NUM = "regexp_full_match(release_version, '[0-9]+([.][0-9]+)*')"
-
-
-@query("highest_tag", f"""SELECT package_name, max(list_resize(list_transform(string_split(release_version, '.'), lambda t: CAST(t AS BIGINT)), 6, 0)) AS k FROM release_files WHERE {_NUM} GROUP BY 1
+@query("highest_tag", """SELECT package_name, max(list_resize(list_transform(string_split(release_version, '.'), lambda t: CAST(t AS BIGINT)), 6, 0)) AS k FROM release_files GROUP BY 1
 HAVING k > [0, 0, 0, 0, 0, 0]""", facts=False)
 def highest_tag(f: Facts) -> DataFrame:
-    r = f.table("release_files").where(F.col("release_version").rlike(r"^[0-9]+(\.[0-9]+)*$"))
-    best = versions.highest_tag(r, "package_name", "release_version")
-    parts = F.transform(F.split("release_version", r"\."), lambda x: x.cast("bigint"))
+    best = versions.highest_tag(f.table("release_files"), "package_name", "release_version")
+    parts = F.transform(F.split("release_version", r"\."), lambda x: x.try_cast("bigint"))
     return best.select("package_name", F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 6)), 1, 6).alias("k"))
 
 
@@ -489,8 +521,13 @@ def repo_url_equiv(f: Facts) -> DataFrame:
     return a.join(b, "k").select("left_id", "right_id")
 
 
-@query("same_org", r"""SELECT DISTINCT group_name, CASE WHEN regexp_matches(lower(group_name), '^(com|io|org)\.(github|gitlab|bitbucket)\.') THEN array_to_string(list_slice(string_split(lower(group_name), '.'), 1, 3), '.')
-ELSE array_to_string(list_slice(string_split(lower(group_name), '.'), 1, 2), '.') END AS organisation FROM bom_components WHERE regexp_full_match(group_name, '[A-Za-z0-9]+([.][A-Za-z0-9]+)+')""", facts=False)
+_EDGE = r"""[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"''()<>\[\]{},;!]+"""
+_WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+
+
+@query("same_org", rf"""WITH b AS (SELECT DISTINCT group_name, regexp_replace(regexp_replace(lower(group_name), '^{_EDGE}', ''), '{_EDGE}$', '') AS s FROM bom_components WHERE group_name IS NOT NULL),
+l AS (SELECT group_name, list_filter(string_split_regex(s, '{_WHITE}\.{_WHITE}'), lambda x: x <> '') AS l FROM b)
+SELECT group_name, array_to_string(list_slice(l, 1, CASE WHEN array_to_string(list_slice(l, 1, 2), '.') IN ('com.github', 'io.github', 'org.github', 'com.gitlab', 'io.gitlab', 'org.gitlab', 'com.bitbucket', 'io.bitbucket', 'org.bitbucket') THEN 3 ELSE 2 END), '.') AS organisation FROM l""", facts=False)
 def same_org(f: Facts) -> DataFrame:
     g = f.table("bom_components").where("group_name is not null").select("group_name").distinct()
     return g.select("group_name", urls.organisation(F.col("group_name")).alias("organisation"))
@@ -593,10 +630,7 @@ def typosquat_candidates(f: Facts) -> DataFrame:
     return heuristics.typosquatting(names.select("name"), "name", popular)
 
 
-_EMAIL = r"\b[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*\.[A-Za-z]{2,}\b"
-
-
-@query("fake_email", rf"SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'SKIP' WHEN regexp_matches(text, '{_EMAIL}') THEN 'PASS' ELSE 'FAIL' END AS result FROM documents", facts=False)
+@query("fake_email", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'SKIP' WHEN regexp_matches(text, '" + heuristics.EMAIL.replace("'", "''") + "') THEN 'PASS' ELSE 'FAIL' END AS result FROM documents", facts=False)
 def fake_email(f: Facts) -> DataFrame:
     return f.table("documents").select("doc_id", heuristics.fake_email(F.col("text")).alias("result"))
 

@@ -99,3 +99,12 @@ def clean_spdx_uri(uri: Column) -> Column:
 
 def is_commit_hash(c: Column) -> Column:
     return c.rlike("^[a-f0-9]{7,40}$")
+
+
+#: Ecosystem of a package address to the host its sources or files are served from (fixed values).
+TYPE_DOMAINS = {"github": "github.com", "gitlab": "gitlab.com", "bitbucket": "bitbucket.org", "maven": "repo1.maven.org", "pypi": "pypi.org", "npm": "registry.npmjs.org"}
+
+
+def purl_domain(purl: Column) -> Column:
+    """Host of a package address by its type; null for unknown types."""
+    return F.create_map(*[F.lit(x) for kv in TYPE_DOMAINS.items() for x in kv])[parse_purl(purl)["type"]]

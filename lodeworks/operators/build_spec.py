@@ -97,3 +97,69 @@ def first_config(files: DataFrame, key: str, path: str, names: tuple[str, ...])
 def spec_json(df: DataFrame) -> DataFrame:
     """Adds ``spec``: the row as a JSON document."""
     return df.withColumn("spec", F.to_json(F.struct(*df.columns)))
+
+
+#: Tool to ecosystem and the names of its configuration files (fixed values).
+TOOL_FILES: Mapping[str, tuple[str, tuple[str, ...]]] = {
+    "maven": ("maven", ("pom.xml",)),
+    "gradle": ("maven", ("build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts")),
+    "pip": ("pypi", ("pyproject.toml", "setup.py", "setup.cfg")),
+    "poetry": ("pypi", ("pyproject.toml",)),
+    "npm": ("npm", ("package.json",)),
+    "yarn": ("npm", ("package.json",)),
+    "go": ("golang", ("go.mod",)),
+    "docker": ("docker", ("Dockerfile",)),
+    "conda": ("pypi", ("meta.yaml",)),
+}
+
+
+def detected_tools(files: DataFrame, key: str, path: str, purl_type: str | None = None) -> DataFrame:
+    """``(key, tool, path)``: every tool with a configuration file in a repository, at its shallowest, then first place.
+
+    Tools of another known ecosystem than the package's are left out.
+    """
+    names = F.create_map(*[x for n in sorted({n for _, ns in TOOL_FILES.values() for n in ns}) for x in (F.lit(n), F.array(*[F.lit(t) for t, (_, ns) in TOOL_FILES.items() if n in ns]))])
+    hit = files.withColumn("tool", F.explode(names[F.element_at(F.split(path, "/"), -1)]))
+    if purl_type:
+        kind = F.create_map(*[F.lit(x) for t, (k, _) in TOOL_FILES.items() for x in (t, k)])[F.col("tool")]
+        known = sorted({k for k, _ in TOOL_FILES.values()})
+        hit = hit.where(~(F.col(purl_type).isin(*known) & (F.col(purl_type) != kind)) | F.col(purl_type).isNull())
+    return hit.groupBy(key, "tool").agg(F.min_by(path, F.struct(F.size(F.split(path, "/")), F.col(path))).alias(path))
+
+
+def project_matches(pom_group: Column, pom_artifact: Column, group: Column, artifact: Column) -> Column:
+    """Does a project file belong to a package: both of its coordinates must be the ones asked for."""
+    return F.coalesce((pom_group == group) & (pom_artifact == artifact), F.lit(False))
+
+
+def pip_confidence(name: Column, build_backend: Column, hits_before: Column) -> Column:
+    """Confidence that a configuration file is of a plain Python build.
+
+    A project file without a build system, or one that names setuptools, is certain; with another it is half certain; any
+    other file counts half once something was found.
+    """
+    project = F.when(build_backend.isNull() | build_backend.contains("setuptools"), 1.0).otherwise(0.5)
+    return F.when(name == "pyproject.toml", project).otherwise(F.when(hits_before > 0, 0.5).otherwise(1.0))
+
+
+def setuptools_inferred(metadata: Column) -> Column:
+    """Metadata written by setuptools: it names its generator or lists its own fields."""
+    return F.coalesce(metadata.rlike(r"(?m)^(?:License-File|Provides-Extra):") | metadata.contains("setuptools"), F.lit(False))
+
+
+def rust_toolchain(backend: Column, requirements: Column, has_cargo: Column, toolchain: Column, rust_version: Column) -> Column:
+    """Toolchain of a package with Rust parts: the channel of its toolchain file, else the least version its manifest asks for."""
+    uses = F.coalesce(backend.rlike("maturin|setuptools_rust|setuptools-rust"), F.lit(False)) | F.coalesce(F.exists(requirements, lambda r: r.rlike("^(?:maturin|setuptools[-_]rust)")), F.lit(False)) | F.coalesce(has_cargo, F.lit(False))
+    channel = F.coalesce(F.nullif(F.regexp_extract(toolchain, r"(?m)^\s*channel\s*=\s*\"([^\"]+)\"", 1), F.lit("")), F.when(~toolchain.contains("["), F.nullif(F.trim(toolchain), F.lit(""))))
+    return F.when(uses, F.coalesce(channel, F.concat(F.lit(">="), rust_version), F.lit("stable")))
+
+
+def best_tool_by_language(tools: DataFrame, key: str) -> DataFrame:
+    """``(key, tool, confidence)``: of the tools for the package's language, the most certain one, then by name."""
+    w = Window.partitionBy(key).orderBy(F.col("confidence").desc(), "tool")
+    return tools.where("tool_language = language").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, "tool", "confidence")
+
+
+def rebuild_file(df: DataFrame) -> DataFrame:
+    """Adds ``rebuild``: the shell-like specification of a rebuild, for rows ``(group, artifact, version, repository, tag, tool, jdk, command)``."""
+    return df.withColumn("rebuild", F.format_string("groupId=%s\nartifactId=%s\nversion=%s\ngitRepo=%s\ngitTag=%s\ntool=%s\njdk=%s\nnewline=lf\ncommand=\"%s\"\n", "group", "artifact", "version", "repository", "tag", "tool", "jdk", "command"))

@@ -122,3 +122,20 @@ def aggregate_levels(components: DataFrame, dependency: DataFrame, check_result:
 def levels_met(levels: DataFrame) -> DataFrame:
     """``(id, level)`` for every level up to the one reached."""
     return levels.select("id", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"))
+
+
+def tree_paths(edges: DataFrame, src: str = "parent", dst: str = "child", sep: str = "/", max_rounds: int = 1000) -> DataFrame:
+    """``(node, path)``: every way from a root to a node, the nested form of a forest or acyclic graph as rows."""
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    roots = e.select(F.col("a").alias("node")).distinct().join(e.select(F.col("b").alias("node")), "node", "left_anti")
+    front = cut(roots.select("node", F.col("node").cast("string").alias("path")))
+    parts = [front]
+    for _ in range(max_rounds):
+        front = cut(front.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.concat("path", F.lit(sep), F.col("b").cast("string")).alias("path")))
+        if front.isEmpty():
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.union(p)
+            return out
+        parts.append(front)
+    raise NoFixpoint(f"more than {max_rounds} levels: the graph may have a cycle")

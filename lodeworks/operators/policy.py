@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 
 class Verdicts(NamedTuple):
-    """The four output relations."""
+    """The four output relations, and what they are read from: one row per policy and component, one per policy."""
 
     passed: DataFrame
     failed: DataFrame
     satisfies: DataFrame
     violates: DataFrame
+    judged: DataFrame
+    policies: DataFrame
 
 
 def check_passed(check_result: DataFrame, passed: int = 1) -> DataFrame:
@@ -42,21 +44,24 @@ def applied_analyses(analysis: DataFrame, restriction: DataFrame) -> DataFrame:
 
 
 def policy_applies_to(targets: DataFrame, analyses: DataFrame, component: DataFrame) -> DataFrame:
-    """``(policy, component_id)`` of the requirement ``targets`` whose component belongs to an analysis in scope."""
-    scope = component.join(analyses, "analysis_id", "left_semi").select(F.col("id").alias("component_id"))
-    return targets.select("policy", "component_id").join(scope, "component_id", "left_semi").select("policy", "component_id").distinct()
+    """``(policy, component_id, purl)`` of the requirement ``targets`` whose component belongs to an analysis in scope."""
+    scope = component.join(analyses, "analysis_id", "left_semi").select(F.col("id").alias("component_id"), "purl")
+    return targets.select("policy", "component_id").distinct().join(scope, "component_id")
 
 
 def evaluate(satisfied: DataFrame, targets: DataFrame, analyses: DataFrame, component: DataFrame) -> Verdicts:
-    """Verdicts for policies satisfied by ``(policy, component_id)`` and applied to ``(policy, component_id)``."""
-    applies = policy_applies_to(targets, analyses, component)
-    sat = satisfied.select("policy", "component_id").distinct()
-    key = ["policy", "component_id"]
-    good, bad = applies.join(sat, key, "left_semi"), applies.join(sat, key, "left_anti")
-    failed = bad.select("policy").distinct()
-    passed = good.select("policy").distinct().join(failed, "policy", "left_anti")
-    purl = component.select(F.col("id").alias("component_id"), "purl")
-    return Verdicts(passed, failed, *(x.join(purl, "component_id").select("component_id", "purl", "policy") for x in (good, bad)))
+    """Verdicts for policies satisfied by ``(policy, component_id)`` and applied to ``(policy, component_id)``.
+
+    Every target is judged once, by one left join; the relations are read from that.
+    """
+    sat = satisfied.select("policy", "component_id").distinct().withColumn("_ok", F.lit(True))
+    judged = policy_applies_to(targets, analyses, component).join(sat, ["policy", "component_id"], "left")
+    judged = judged.select("component_id", "purl", "policy", F.coalesce("_ok", F.lit(False)).alias("satisfied"))
+    policies = judged.groupBy("policy").agg(F.bool_and("satisfied").alias("passed"))
+    return Verdicts(
+        policies.where("passed").select("policy"), policies.where("not passed").select("policy"),
+        judged.where("satisfied").drop("satisfied"), judged.where("not satisfied").drop("satisfied"), judged, policies,
+    )
 
 
 def exit_status(v: Verdicts) -> str:

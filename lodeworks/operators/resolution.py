@@ -71,3 +71,17 @@ def nearest_ancestor(nodes: DataFrame, kind: str, max_rounds: int = 100) -> Data
         if open_.isEmpty():
             return done
     raise NoFixpoint(f"a forest deeper than {max_rounds}")
+
+
+def matching_run(wanted: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """``(key, run_id)``: the first run of the workflow on the commit; ``wanted(key, workflow_id, head_sha)``, ``runs(run_id, workflow_id, head_sha, n)``.
+
+    ``n`` is the place of a run in the listing.
+    """
+    j = wanted.join(runs, ["workflow_id", "head_sha"])
+    return j.groupBy(key).agg(F.min_by("run_id", F.struct("n", "run_id")).alias("run_id"))
+
+
+def source_report(df: DataFrame, key: str) -> DataFrame:
+    """Adds ``report``: the source of a package, its commit and where they came from, as a JSON document."""
+    return df.withColumn("report", F.to_json(F.struct(*[F.col(c) for c in df.columns if c != key])))

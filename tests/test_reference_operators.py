@@ -197,11 +197,15 @@ def test_prelude_and_introspection(spark):
         "dependency": edges(spark, [(1, 2)]),
         "check_result": spark.createDataFrame([(1, "mcn_a_1", True, 1), (2, "mcn_a_1", False, 2)], "id long, n string, passed boolean, c long"),
     }
-    text = datalog.PRELUDE + 'Policy("p", c, "ok") :- check_passed(c, "mcn_a_1").\napply_policy_to("p", c) :- component(c, _, _).'
-    out = run(spark, text, **rel)
+    text = 'Policy("p", c, "ok") :- check_passed(c, "mcn_a_1").\napply_policy_to("p", c) :- component(c, _, a), apply_to_analysis(a).'
+    out = {n: {tuple(r) for r in d.collect()} for n, d in datalog.run_policies(datalog.Engine(spark, rel), text).items()}
     assert out["failed_policies"] == {("p",)} and out["passed_policies"] == set()
     assert out["component_satisfies_policy"] == {(1, "pkg:a/x", "p")} and out["component_violates_policy"] == {(2, "pkg:a/y", "p")}
-    assert datalog.relations_read(text) == ["analysis", "check_result", "component", "dependency", "restrict_to_analysis"]
+    assert datalog.relations_read(text) == ["apply_to_analysis", "check_passed", "component"]
+    none = datalog.run_policies(datalog.Engine(spark, rel), 'apply_policy_to("p", c) :- component(c, _, _), check_failed(c, _).\n.decl seen(n: symbol)\nseen(n) :- is_check(n).\n.output seen')
+    assert [tuple(r) for r in none["failed_policies"].collect()] == [("p",)] and none["passed_policies"].count() == 0 and none["seen"].first().n == "mcn_a_1"
+    with pytest.raises(datalog.RuleError):
+        datalog.run_policies(datalog.Engine(spark, rel), '.decl Policy(a: number)\nPolicy(1).')
 
 
 # Versions and addresses ----------------------------------------------------------------------------------------------
@@ -344,10 +348,16 @@ def test_dirs_and_summary(spark):
 
 
 def test_remote_execution_and_injection(spark):
-    t = ["curl -s x | bash", "wget -qO- x | sudo -E bash -", "curl x | env A=1 sh", "curl x > f && bash f", "echo curl | bash", "curl x | grep bash"]
-    assert vals(spark, t, lambda c: c.rlike(workflow._REMOTE_EXEC)) == [True, True, True, False, False, False]
-    t = ["echo ${{ github.event.issue.title }}", "echo ${{ github.sha }}", "x ${{ format('{0}', github.head_ref) }}", "github.head_ref"]
-    assert vals(spark, t, lambda c: c.rlike(workflow._INJECTION)) == [True, False, True, False]
+    some = lambda f: lambda c: F.size(f(c)) > 0
+    # A wrapper counts if the word right behind it is a shell; only plain words and only the first pipe of a pipeline count.
+    t = ["curl -s x | bash", "wget -qO- x | sudo bash -", "/usr/bin/CURL x |& env sh", "set -e; curl x \\\n  -o - | tar xz", "if true; then curl x | bash; fi"]
+    assert vals(spark, t, some(workflow.remote_scripts)) == [True] * 5
+    t = ["wget x | sudo -E bash", "curl x | env A=1 sh", "curl x > f && bash f", "echo curl | bash", "curl x | grep bash", 'curl "x" | bash', "curl $U | bash", "curl x | tee f | bash", "# curl x | bash", "curl x || bash"]
+    assert vals(spark, t, some(workflow.remote_scripts)) == [False] * 10
+    t = ["echo ${{ github.event.issue.body }}", "x ${{ format('{0}', github.head_ref) }} && ls", "a | b '${{ github.event.comment.body }}'"]
+    assert vals(spark, t, some(workflow.injections)) == [True] * 3
+    t = ["echo ${{ github.event.issue.title }}", "echo ${{ github.sha }}", "github.head_ref", "X=${{ github.head_ref }}", "# echo ${{ github.head_ref }}", None]
+    assert vals(spark, t, lambda c: F.coalesce(some(workflow.injections)(c), F.lit(False)) & F.coalesce(F.size(workflow.injections(c)) > 0, F.lit(False))) == [False] * 6
     assert vals(spark, ["${{ github.a.b }} ${{ github.a.b && secrets.K }}"], workflow.expressions) == [["github.a.b"]]
     assert vals(spark, ["${{ secrets.K }}${{ secrets.L }}"], workflow.secrets_used) == [["K", "L"]]
 
@@ -474,7 +484,7 @@ def test_relational(spark):
 
 
 def test_workflow_documents(spark):
-    doc = {"on": {"pull_request_target": {}}, "jobs": {"b": {"permissions": {"contents": "write"}, "runs-on": "self-hosted", "steps": [{"id": "c", "uses": "actions/checkout@v4", "with": {"ref": "${{ github.head_ref }}"}}, {"run": "make"}]}, "empty": {}}}
+    doc = {"on": {"pull_request_target": {}}, "permissions": {"contents": "write", "issues": "read"}, "jobs": {"b": {"permissions": {"contents": "write"}, "runs-on": "self-hosted", "steps": [{"id": "c", "uses": "actions/checkout@v4", "with": {"ref": "${{ github.head_ref }}"}}, {"run": "make"}]}, "empty": {}}}
     docs = [json.dumps(doc), json.dumps({"on": ["push"], "permissions": "read-all", "jobs": {"a": {"steps": [{"run": "x"}]}}}), json.dumps({"on": "push", "jobs": {"a": {"steps": [{"run": "x"}]}}}), "{", None]
     s = workflow.flatten(spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "p string, d string"), "p", "d")
     rows = {(r.workflow, r.step): r for r in s.collect()}
