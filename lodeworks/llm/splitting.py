@@ -34,24 +34,22 @@ NATURAL = rf"(?={_BLANK}*+\n|(?<=[.!?])[{SPACE}]|[{SPACE}]*+\z)"
 
 
 #: Tokens of an atomic block.
-BLOCK = 64
-#: Pieces whose lengths are summed up in one go, and pieces looked back over for an overlap.
+BLOCK = 256
+#: Pieces whose lengths are summed up in one go.
 GROUP = 256
 
 
 def units(least: int, most: int) -> str:
     """``least`` to ``most`` tokens, as many as possible first, in blocks that are never given back in part."""
-    if most <= 2 * BLOCK:
+    if most <= BLOCK:
         return rf"{_UNIT}{{{least},{most}}}"
     block = rf"(?>{_UNIT}{{{BLOCK}}})"
     top, rest = divmod(most, BLOCK)
     low, over = divmod(least, BLOCK)
-    ways = [rf"{block}{{{top}}}{_UNIT}{{{over if top == low else 0},{rest}}}"]
-    if top - 1 > low:
-        ways.append(rf"{block}{{{low + 1},{top - 1}}}{_UNIT}{{0,{BLOCK - 1}}}")
-    if top > low:
-        ways.append(rf"{block}{{{low}}}{_UNIT}{{{over},{BLOCK - 1}}}")
-    return "(?:" + "|".join(ways) + ")"
+    if top == low:
+        return rf"{block}{{{low}}}{_UNIT}{{{over},{rest}}}"
+    ways = [rf"{block}{{{top - low}}}{_UNIT}{{0,{rest}}}", *([rf"{block}{{1,{top - low - 1}}}{_UNIT}{{0,{BLOCK - 1}}}"] if top - low > 1 else []), rf"{_UNIT}{{{over},{BLOCK - 1}}}"]
+    return (rf"{block}{{{low}}}" if low else "") + "(?:" + "|".join(ways) + ")"
 
 
 def extraction(limit: int, first: int | None = None) -> str:
