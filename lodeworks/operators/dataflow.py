@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from lodeworks.operators.graph import NoFixpoint
 from lodeworks.session import cut
 
-#: A concatenation of this length or more is dropped: it bounds the values a loop can build.
+#: A concatenation of this length or more is not built (fixed value): it bounds the values a loop can make.
 LONGEST_VALUE = 10_000
+#: What stands for such a value, and for everything made from it.
+TOO_LONG = f"(a value of {LONGEST_VALUE} characters or more)"
 
 
 def normal_location(path):
@@ -36,7 +38,8 @@ def fixpoint(effects: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     """``(node, location, value)``: all values that may be at a location after a node.
 
     ``effects(node, location, prefix, source, suffix)``: the node writes ``prefix || value(source) || suffix`` to the
-    location; a null source writes the literal ``prefix``.  ``edges(src, dst)``: control flow.
+    location; a null source writes the literal ``prefix``.  ``edges(src, dst)``: control flow.  A value that would be too
+    long comes out as ``TOO_LONG``.
     """
     e = effects.select("node", normal_location(F.col("location")).alias("location"), F.coalesce("prefix", F.lit("")).alias("prefix"), normal_location(F.col("source")).alias("source"), F.coalesce("suffix", F.lit("")).alias("suffix"))
     copies = e.where("source is not null")
@@ -50,8 +53,8 @@ def fixpoint(effects: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
         written = (
             seen.withColumnRenamed("location", "source")
             .join(copies, ["node", "source"])
-            .select("node", "location", F.concat("prefix", "value", "suffix").alias("value"))
-            .where(F.length("value") < LONGEST_VALUE)
+            .withColumn("built", F.concat("prefix", "value", "suffix"))
+            .select("node", "location", F.when((F.col("value") == TOO_LONG) | (F.length("built") >= LONGEST_VALUE), TOO_LONG).otherwise(F.col("built")).alias("value"))
         )
         new = cut(moved.union(written).distinct().join(state, ["node", "location", "value"], "left_anti"))
         if new.isEmpty():
@@ -140,6 +143,8 @@ class Shell:
         self.env: dict[str, set[str]] = {k: set(v) for k, v in (env or {}).items()}
         self.files: dict[str, set[str]] = {}
         self.commands: list[str] = []
+        #: Why the result is not everything the script may do.
+        self.notes: set[str] = set()
 
     def expand(self, word: str) -> set[str]:
         """All texts a word may stand for; an unknown variable leaves the word as it is."""
@@ -153,6 +158,8 @@ class Shell:
                 x = word[: m.start()] + v + rest
                 if len(x) < LONGEST_VALUE:
                     out.add(x)
+                else:
+                    self.notes.add(TOO_LONG)
         return out
 
     @staticmethod
@@ -241,7 +248,10 @@ class Shell:
 
 
 def interpret_scripts(df: DataFrame, id_col: str, script: str) -> DataFrame:
-    """``(id, kind, name, value)``: variables and files with every value they may hold, and the commands run, in order (``name`` is the position)."""
+    """``(id, kind, name, value)``: variables and files with every value they may hold, and the commands run, in order (``name`` is the position).
+
+    A script that is not followed to its end has rows of the kind ``incomplete`` that say why.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -250,10 +260,11 @@ def interpret_scripts(df: DataFrame, id_col: str, script: str) -> DataFrame:
                 sh = Shell()
                 try:
                     sh.run(text or "")
-                except RecursionError:  # a script that calls itself: what is known so far stands
-                    pass
+                except RecursionError:  # what is known so far stands, and the result says so
+                    sh.notes.add("the script calls itself")
                 rows += [(i, "variable", k, v) for k, vs in sorted(sh.env.items()) for v in sorted(vs) if "\0" not in v]
                 rows += [(i, "file", k, v) for k, vs in sorted(sh.files.items()) for v in sorted(vs) if "\0" not in v]
+                rows += [(i, "incomplete", n, None) for n in sorted(sh.notes)]
                 rows += [(i, "command", str(n), c.replace("\0", "$")) for n, c in enumerate(sh.commands)]
             yield pd.DataFrame(rows, columns=["id", "kind", "name", "value"])
 

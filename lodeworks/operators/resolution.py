@@ -55,22 +55,25 @@ def artifact_pipeline(releases: DataFrame, runs: DataFrame, commits: DataFrame,
     return j.select("package", "seq", "run_id", (F.col("upload_time") < F.col("committed_at")).alias("published_before_commit"), gone.alias("run_deleted"))
 
 
-def nearest_ancestor(nodes: DataFrame, kind: str, max_rounds: int = 100) -> DataFrame:
-    """``(node, ancestor)``: the nearest ancestor of a kind in a forest ``(node, parent, kind)``, the node itself included."""
+def nearest_ancestor(nodes: DataFrame, kind: str, max_rounds: int = 64) -> DataFrame:
+    """``(node, ancestor)``: the nearest ancestor of a kind in a forest ``(node, parent, kind)``, the node itself included.
+
+    Every round doubles how far up each node has looked, so the rounds grow with the logarithm of the depth; a cycle
+    without a node of the kind is an error.
+    """
     from lodeworks.operators.graph import NoFixpoint
     from lodeworks.session import cut
 
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("next"), (F.col("kind") == kind).alias("hit"))
-    open_ = nodes.select("node", F.col("node").alias("at"))
-    done = None
+    hit = F.coalesce(F.col("kind") == kind, F.lit(False))
+    state = cut(nodes.select("node", F.when(hit, F.col("node")).otherwise(F.col("parent")).alias("at"), hit.alias("done")).where("at is not null"))
     for _ in range(max_rounds):
-        step = cut(open_.join(up, "at"))
-        hits = step.where("hit").select("node", F.col("at").alias("ancestor"))
-        done = hits if done is None else done.union(hits)
-        open_ = step.where("not hit and next is not null").select("node", F.col("next").alias("at"))
-        if open_.isEmpty():
-            return done
-    raise NoFixpoint(f"a forest deeper than {max_rounds}")
+        still = state.where("not done")
+        if still.isEmpty():
+            return state.select("node", F.col("at").alias("ancestor"))
+        # A node whose target has nothing above it has no such ancestor and goes.
+        up = state.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("done").alias("there"))
+        state = cut(state.where("done").unionByName(still.join(up, "at").select("node", F.col("further").alias("at"), F.col("there").alias("done"))))
+    raise NoFixpoint("the nodes above some node form a cycle")
 
 
 def matching_run(wanted: DataFrame, runs: DataFrame, key: str) -> DataFrame:

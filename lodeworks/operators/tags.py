@@ -1,8 +1,8 @@
 """Which tag of a repository marks a version.
 
 Pass one finds tags that are the version up to separators and a usual prefix, as an equi-join on a normalised key.  Pass
-two scores the remaining tags of a repository in Arrow batches; only tags that hold the version's parts in order are
-scored, so candidates come from a join on repository and first part, never from all pairs.
+two scores the remaining tags of a repository in Arrow batches; only tags that hold the version's parts one behind the other
+are scored, so candidates come from a join on repository and run of parts, never from all pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 _PARTS = re.compile(r"[0-9]+|[a-z]+")
 #: Words before a version that say nothing (fixed values).
 PREFIXES = ("v", "version", "ver", "release", "rel", "r", "tag")
+#: Parts of a version that a tag must hold in a row to be scored.
+RUN = 6
 _SUFFIX = re.compile(r"(?:final|ga|release)$")
 
 
@@ -61,15 +63,19 @@ def match_tags(versions: DataFrame, tags: DataFrame, least: float = 0.5) -> Data
     v = versions.select("repo", "name", "version", tag_key(F.col("version")).alias("key")).distinct()
     exact = v.join(t, ["repo", "key"]).select("repo", "name", "version", "tag", F.lit(1.0).alias("score"))
     rest = v.join(exact.select("repo", "name", "version").distinct(), ["repo", "name", "version"], "left_anti")
-    first = rest.withColumn("part", F.regexp_extract("key", "^([0-9]+|[a-z]+)", 1))
-    parts = t.select("repo", "tag", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("tag"), F.lit("([0-9]+|[a-z]+)"), F.lit(1)))).alias("part"))
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
+    first = rest.withColumn("run", F.array_join(F.slice(split("version"), 1, RUN), ".")).where("run <> ''")
+    own = t.select("repo", "tag", split("tag").alias("p")).where("size(p) > 0")
+    # All runs of up to RUN parts of a tag, each once.
+    ends = lambda p, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(p) - i)), lambda n: F.array_join(F.slice(p, i + 1, n), "."))
+    parts = own.select("repo", "tag", F.explode(F.array_distinct(F.flatten(F.transform("p", lambda x, i: ends(F.col("p"), i))))).alias("run"))
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b, c in batches:
             yield pd.Series([score(x, y or "", z) for x, y, z in zip(a, b, c, strict=True)], dtype="float64")
 
-    close = first.join(parts, ["repo", "part"]).withColumn("score", scored("version", "name", "tag")).where(F.col("score") >= least)
+    close = first.join(parts, ["repo", "run"]).withColumn("score", scored("version", "name", "tag")).where(F.col("score") >= least)
     out = exact.unionByName(close.select("repo", "name", "version", "tag", "score"))
     w = Window.partitionBy("repo", "name", "version").orderBy(F.col("score").desc(), F.length("tag"), "tag")
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodeworks import pipeline_queries  # noqa: F401 - registers its queries
 from lodeworks.fact_queries import QUERIES
-from lodeworks.llm import leaks
-from lodeworks.operators import heuristics, timestamps
+from lodeworks.operators import dataflow, heuristics, resolution, tags, timestamps
+from lodeworks.operators.graph import NoFixpoint
 
 
 def parts(spark, folder, keys):
@@ -105,8 +108,40 @@ def test_times_of_any_length():
     assert us[:4].tolist() == [1_709_287_200_000_000] * 2 + [1_709_287_200_123_456, 1_709_287_200_111_111]
 
 
-def test_a_lone_stretch_needs_no_sentence():
-    words = [f"w{i:02}" for i in range(40)]
-    s = leaks.Searcher(leaks.own_texts([(1, "s", " ".join(words))]))
-    assert [i for i, _ in s.leaks("before " + " ".join(words[8:32]) + " after")] == [1]
-    assert [i for i, _ in s.leaks("before " + " ".join(words[8:24]) + " after")] == []
+def test_ancestors_of_any_depth_and_cycles(spark):
+    n = 3000
+    rows = [(i, i - 1 if i else None, "job" if i == 0 else "step") for i in range(n)] + [(-1, None, "step"), (-2, -1, "step")]
+    df = spark.createDataFrame(rows, "node long, parent long, kind string")
+    assert {tuple(r) for r in resolution.nearest_ancestor(df, "job").collect()} == {(i, 0) for i in range(n)}
+    loop = spark.createDataFrame([(1, 2, "step"), (2, 1, "step")], "node long, parent long, kind string")
+    with pytest.raises(NoFixpoint):
+        resolution.nearest_ancestor(loop, "job", max_rounds=6)
+
+
+def test_values_that_are_too_long_are_marked(spark):
+    effects = spark.createDataFrame([(1, "a", "x" * 9000, None, None), (1, "b", "y" * 2000, "a", None), (1, "c", "z", "b", None)], "node long, location string, prefix string, source string, suffix string")
+    got = {(r.location, r.value) for r in dataflow.fixpoint(effects, spark.createDataFrame([], "src long, dst long")).collect()}
+    assert got == {("a", "x" * 9000), ("b", dataflow.TOO_LONG), ("c", dataflow.TOO_LONG)}
+    scripts = spark.createDataFrame([(1, "echo 'source f.sh' > f.sh\nsource f.sh"), (2, "A=1\necho $A")], "id long, s string")
+    kinds = {(r.id, r.kind) for r in dataflow.interpret_scripts(scripts, "id", "s").collect()}
+    assert (1, "incomplete") in kinds and (2, "incomplete") not in kinds
+
+
+def test_tags_against_all_pairs(spark):
+    r = random.Random(9)
+    word = lambda: r.choice(["v", "release", "lib", "rc", "final", "x"])
+    number = lambda: ".".join(str(r.randint(0, 3)) for _ in range(r.randint(1, 4)))
+    versions = sorted({(repo, "lib", number() + r.choice(["", "", "rc1"])) for repo in ("a", "b") for _ in range(40)})
+    listed = sorted({(repo, r.choice(["", word() + "-", word() + "/"]) + number().replace(".", r.choice(".-_")) + r.choice(["", "-" + word(), ".0", "rc1"])) for repo in ("a", "b") for _ in range(60)})
+    out = tags.match_tags(spark.createDataFrame(versions, "repo string, name string, version string"), spark.createDataFrame(listed, "repo string, tag string")).collect()
+    got = {(m.repo, m.version): (m.tag, round(m.score, 6)) for m in out}
+    key = lambda t: spark.createDataFrame([(x,) for x in t], "t string").select(tags.tag_key(F.col("t"))).collect()
+    tag_keys = dict(zip([t for _, t in listed], [k[0] for k in key([t for _, t in listed])], strict=True))
+    version_keys = dict(zip([v for _, _, v in versions], [k[0] for k in key([v for _, _, v in versions])], strict=True))
+    want = {}
+    for repo, name, v in versions:
+        exact = [t for x, t in listed if x == repo and tag_keys[t] == version_keys[v]]
+        scored = [(-1.0, len(t), t) for t in exact] or [(-s, len(t), t) for x, t in listed if x == repo and (s := tags.score(v, name, t)) >= 0.5]
+        if scored:
+            want[repo, v] = (min(scored)[2], round(-min(scored)[0], 6))
+    assert got == want and len(want) > 10
