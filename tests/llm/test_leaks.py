@@ -189,3 +189,10 @@ def test_blocks_give_the_same_rows(spark, data, monkeypatch):
     one = {(r.id, r.item_id) for r in lk.find_leaks(docs, ev).collect()}
     monkeypatch.setattr(lk, "blocks", lambda items, size=0: [tuple(items[:5]), tuple(items[5:])])
     assert {(r.id, r.item_id) for r in lk.find_leaks(docs, ev).collect()} == one == {(i, i) for i in range(12)}
+
+
+def test_a_lone_stretch_needs_no_sentence():
+    words = [f"w{i:02}" for i in range(40)]
+    s = lk.Searcher(lk.own_texts([(1, "s", " ".join(words))]))
+    assert [i for i, _ in s.leaks("before " + " ".join(words[8:32]) + " after")] == [1]
+    assert [i for i, _ in s.leaks("before " + " ".join(words[8:24]) + " after")] == []
