@@ -133,6 +133,8 @@ def copies(df: DataFrame, id_col: str, fields: list[str], with_pairs: set[str] =
     """One row per copy but the first: ``(keep_id, copy_id)``."""
     enc = cut(encode(df, id_col, fields, with_pairs))
     sets = enc.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    # Reversed keys: both sides get a shuffle of their own, which is what lets adaptive execution split a hot key.
-    left, right = enc.select(F.reverse("key").alias("k"), "id"), sets.select(F.reverse("key").alias("k"), "keep_id")
+    # Keys with one byte more: both sides get a shuffle of their own, which is what lets adaptive execution split a hot key.
+    # (Reversing them would treat bytes as text, which corrupts keys that are none.)
+    longer = F.concat("key", F.lit(bytearray(b"\x00"))).alias("k")
+    left, right = enc.select(longer, "id"), sets.select(longer, "keep_id")
     return left.join(right, "k").where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))

@@ -72,3 +72,11 @@ def test_letter_case_is_lower_case_and_pairs_are_sorted(spark):
     df = spark.createDataFrame(rows, "id long, p string")
     assert sorted(map(tuple, fd.copies(df, "id", ["p"], {"p"}).collect())) == [(0, 1)]
     assert fd.collapse(df, "id", ["p"], {"p"}).count() == 4
+
+
+def test_keys_of_any_bytes_meet(spark):
+    """Keys are raw bytes: many distinct sets, each of three, over and over."""
+    df = spark.range(30_000).selectExpr("id row_id", "concat('g', id % 10000) g", "concat('n', id % 10000) n", "null p", "'a' key", "'b' id")
+    for _ in range(3):
+        out = fd.copies(df, "row_id", F3, {"p"})
+        assert out.count() == 20_000 and out.where("copy_id % 10000 <> keep_id").count() == 0
