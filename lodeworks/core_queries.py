@@ -147,3 +147,23 @@ UNION ALL SELECT feed, file_seq, 'removed', k, '' FROM gone WHERE (feed, file_se
 UNION ALL SELECT feed, file_seq, 'added', k, '' FROM come WHERE (feed, file_seq, k) NOT IN (SELECT (feed, file_seq, n) FROM ren)
 UNION ALL SELECT f.feed, f.file_seq, 'type_changed', p.k, '' FROM files f JOIN p ON p.feed = f.feed AND p.file_seq = f.file_seq JOIN p q ON q.feed = f.feed AND q.file_seq = f.prev AND q.k = p.k WHERE p.ty <> q.ty""",
 }
+
+
+#: An object as the statements write it; texts of objects have their keys sorted.
+SUBJECT = r'\{"name":("[^"]*"),"digest":(\{[^}]*\})\}'
+
+
+def _values_sql(kind: str) -> str:
+    """The one table by self-joins: columns are the components of the renames, cells the values of the lines."""
+    body = ORACLES["p4_found"]
+    common = body[: body.index("SELECT feed, file_seq, 'renamed'")].replace("WITH l AS", "WITH RECURSIVE l AS").replace("FROM feed_lines", f"FROM (SELECT * FROM feed_lines WHERE feed_kind = '{kind}')")
+    return common + f""", fields AS (SELECT k, count(DISTINCT (feed, file_seq)) AS files FROM t GROUP BY 1),
+links AS (SELECT DISTINCT k AS a, n AS b FROM ren UNION SELECT DISTINCT n, k FROM ren),
+reach AS (SELECT k AS f, k AS g FROM fields UNION SELECT reach.f, links.b FROM reach JOIN links ON links.a = reach.g),
+named AS (SELECT f, first(g ORDER BY files DESC, g) AS col FROM reach JOIN fields ON fields.k = g GROUP BY 1),
+place AS (SELECT feed, file_seq, k, CASE WHEN row_number() OVER (PARTITION BY feed, file_seq, col ORDER BY files DESC, k) = 1 THEN col ELSE k END AS col FROM (SELECT DISTINCT feed, file_seq, k FROM t) JOIN named ON named.f = k JOIN fields USING (k)),
+cells AS (SELECT feed, file_seq, line_id, k, json_extract(line, '$."' || k || '"') AS v FROM (SELECT feed, file_seq, line_id, line, unnest(json_keys(line)) AS k FROM feed_lines WHERE feed_kind = '{kind}' AND json_valid(line) AND json_type(line) = 'OBJECT'))
+SELECT feed, file_seq, line_id, col AS "column", CASE WHEN json_type(v) = 'DOUBLE' THEN regexp_replace(CAST(v AS VARCHAR), '[.]?0+$', '') ELSE regexp_replace(json_extract_string(v, '$'), '{SUBJECT}', '{{"digest":\\2,"name":\\1}}', 'g') END AS value FROM cells JOIN place USING (feed, file_seq, k) WHERE json_type(v) <> 'NULL'"""
+
+
+ORACLES |= {f"p4_{kind}_values": _values_sql(kind) for kind in ("bom", "att")}
