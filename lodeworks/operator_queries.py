@@ -11,7 +11,7 @@ from lodeworks import sinks
 from lodeworks.fact_queries import CLOSURE, query
 from lodeworks.functions import text as tx
 from lodeworks.functions import urls
-from lodeworks.operators import build_spec, checks, dataflow, graph, policy, provenance, relational, resolution, sbom, tags
+from lodeworks.operators import build_spec, checks, dataflow, graph, heuristics, policy, provenance, relational, resolution, sbom, tags
 from lodeworks.session import checkpoint_dir
 from lodeworks.sources import readers, registries
 from lodeworks.sources.facts import Facts
@@ -414,3 +414,18 @@ def commit_hashes(f: Facts) -> DataFrame:
 def script_pages(f: Facts) -> DataFrame:
     page = F.concat(F.lit("<p>"), F.when(F.col("n_nationkey") % 2 == 0, "Please Enable JavaScript").otherwise("hello"), F.lit("</p>"))
     return f.table("nation").select(F.col("n_nationkey").alias("k"), readers.needs_script(page).alias("asks"))
+
+
+@query("setuptools_inferred", "SELECT p_partkey AS k, p_partkey % 3 <> 2 AS inferred FROM part", facts=False)
+def setuptools_inferred(f: Facts) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    t = F.when(k == 0, F.concat(F.lit("Name: "), "p_name", F.lit("\nLicense-File: LICENSE\n"))).when(k == 1, "Generator: setuptools 70").otherwise("Name: x\n")
+    return f.table("part").select(F.col("p_partkey").alias("k"), build_spec.setuptools_inferred(t).alias("inferred"))
+
+
+@query("project_link_heuristics", "SELECT p_partkey AS k, CASE WHEN p_size % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS link, CASE WHEN p_size % 3 <> 0 THEN 'SKIP' WHEN p_partkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS repo FROM part", facts=False)
+def project_link_heuristics(f: Facts) -> DataFrame:
+    links = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("https://x.example"))).when(F.col("p_size") % 3 == 1, F.array().cast("array<string>"))
+    repo = F.when(F.col("p_partkey") % 2 == 0, "https://github.com/o/n")
+    wide = f.table("part").select(F.col("p_partkey").alias("k"), heuristics.empty_project_link(links).alias("empty_project_link"), heuristics.source_code_repo(repo).alias("source_code_repo"))
+    return heuristics.gate(wide).select("k", F.col("empty_project_link").alias("link"), F.col("source_code_repo").alias("repo"))
