@@ -140,10 +140,12 @@ def step_findings(steps: DataFrame) -> DataFrame:
     scopes = F.filter(F.split("workflow_permissions", "\n"), lambda x: x.contains(":") & F.lower(F.substring_index(x, ":", -1)).contains("write"))
     of_workflow = both(when(whole, "overbroad-permissions", F.col("workflow_permissions")), F.when(target, each(scopes, "overbroad-permissions")))
     of_job = both(when(F.col("runs_on").contains("self-hosted"), "self-hosted-runner", F.col("job")))
+    # Most scripts are not read statement by statement: they lack what a finding needs.
+    downloads = F.contains("run", F.lit("|")) & F.col("run").rlike("(?i)curl|wget")
     of_step = both(
         when(unpinned, "unpinned-third-party-action", uses), when(untrusted & has("pull_request"), "untrusted-fork-code", ref),
-        when(untrusted & target, "pr-target-untrusted-checkout", ref), each(remote_scripts(F.col("run")), "remote-script-exec"),
-        each(injections(F.col("run")), "potential-injection"),
+        when(untrusted & target, "pr-target-untrusted-checkout", ref), F.when(downloads, each(remote_scripts(F.col("run")), "remote-script-exec")),
+        F.when(F.contains("run", F.lit("${{")), each(injections(F.col("run")), "potential-injection")),
     )
     placed = lambda issues, job, step: F.transform(issues, lambda x: F.struct(job.alias("job"), step.alias("step"), x["finding"].alias("finding"), x["detail"].alias("detail")))
     rows = F.concat(placed(of_workflow, none, none), placed(of_job, F.col("job"), none), placed(of_step, F.col("job"), F.col("step")))
